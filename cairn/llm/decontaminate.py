@@ -1,12 +1,13 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Tokens are the runs of letters and digits of the lower-cased text.  A seed is a
-window of SPAN tokens of which a fixed mask ignores some; the masks differ, so
-that a few substituted tokens leave some seed whole.  Hashes of the benchmark's
-seeds are joined with those of all positions of all documents.  Around a hit
-both texts are aligned and compared token by token: a document is contaminated
-by an item if at least NEED tokens (or four fifths of a shorter item) agree
-within PAD tokens of the seed, whatever stands at the other places.
+Tokens are the runs of letters and digits of the lower-cased text, as 64-bit
+hashes.  A seed is a window of SPAN tokens of which a fixed mask ignores some;
+the masks differ, so that a few substituted tokens leave some seed whole.
+Hashes of the benchmark's seeds are joined with those of all positions of all
+documents.  Around a hit both texts are aligned and compared token by token: a
+document is contaminated by an item if at least NEED tokens (or four fifths of
+a shorter item) agree within PAD tokens of the seed, whatever stands at the
+other places.
 
 Only built-in functions are used.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 SPAN = 12
 MASKS = ((0, 1, 2, 4, 7, 8, 10, 11), (0, 1, 3, 5, 6, 8, 9, 11), (0, 2, 3, 4, 6, 9, 10, 11))
-PAD, NEED, SHARE = 8, 13, 0.8
+PAD, NEED, SHARE = 6, 13, 0.8
 #: Items with fewer tokens name nothing in particular and are left out.
 LEAST = 5
 #: Seeds that are sent to all executors; beyond that the join shuffles.
@@ -26,48 +27,46 @@ BROADCAST_SEEDS = 500_000
 
 
 def tokens(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), "")
-
-
-def _seed(t: Column, at: Column, mask: tuple[int, ...], tag: int) -> Column:
-    return F.xxhash64(F.lit(tag), *(F.get(t, at + o) for o in mask))
+    """Hashes of the tokens.  The lambda runs once per text; all that runs per position is compiled."""
+    return F.transform(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), ""), lambda x: F.xxhash64(x))
 
 
 def _seeds(rows: DataFrame, masks: list[tuple[int, tuple[int, ...], int]]) -> DataFrame:
     """``rows`` (with t) exploded to at and h: a row per position and mask; masks are (tag, places, span)."""
     least = min(span for _, _, span in masks)
-    at = rows.where(F.size("t") >= least).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("t") - least)))
-    hashes = [F.when(F.col("at") + span <= F.size("t"), _seed(F.col("t"), F.col("at"), m, tag)) if span > least else _seed(F.col("t"), F.col("at"), m, tag) for tag, m, span in masks]
-    return at.withColumn("h", F.explode(F.array(*hashes))).where("h is not null")
+    # No filter on the size: it would split every text a second time.
+    at = rows.withColumn("at", F.explode(F.when(F.size("t") >= least, F.sequence(F.lit(0), F.size("t") - least))))
+    seed = lambda tag, mask: F.xxhash64(F.lit(tag), *(F.get("t", F.col("at") + o) for o in mask))
+    hashes = [F.when(F.col("at") + span <= F.size("t"), seed(tag, m)) if span > least else seed(tag, m) for tag, m, span in masks]
+    return at.withColumn("h", F.explode(F.array(*hashes)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, item_id, n_hits, n_matched) for each document that holds a passage of an item.
+    """(doc_id, item_id, n_hits) for each document that holds a passage of an item.
 
-    n_hits counts the positions and masks that were verified, n_matched is the
-    most tokens that agree around one.  Null, empty and very short texts match
-    nothing; rows of the same doc_id count together; repeated items each count.
-    Either table may be empty.  Other columns are ignored.
+    n_hits counts the seeds that were verified.  Null, empty and very short
+    texts match nothing; rows of the same doc_id count together; repeated items
+    each count.  Either table may be empty.  Other columns are ignored.
     """
     items = benchmark.select("item_id", tokens(F.col("text")).alias("t")).where(F.size("t") >= LEAST)
     sizes = items.agg(F.sum(F.size("t")).alias("n"), F.collect_set(F.when(F.size("t") < SPAN, F.size("t"))).alias("short")).first()
     # An item shorter than a mask is a seed as a whole; lengths LEAST .. SPAN - 1.
     short = [(100 + n, tuple(range(n)), n) for n in sorted(sizes["short"])]
     masks = [(i, m, SPAN) for i, m in enumerate(MASKS)]
-    seeds = _seeds(items.where(F.size("t") >= SPAN), masks)
+    seeds = _seeds(items, masks)
     for s in short:
         seeds = seeds.unionByName(_seeds(items.where(F.size("t") == s[2]), [s]))
-    seeds = seeds.select("h", "item_id", F.col("at").alias("item_at"), F.col("t").alias("item_t"))
+    # The tokens around each seed as columns: all code per position must stay within what the JVM compiles.
+    around = [F.get("t", F.col("at") + k).alias(f"w{k + PAD}") for k in range(-PAD, SPAN + PAD)]
+    seeds = seeds.select("h", "item_id", *around, F.least(F.lit(NEED), F.ceil(F.size("t") * SHARE)).alias("need"))
     if (sizes["n"] or 0) * len(masks) <= BROADCAST_SEEDS:
         seeds = F.broadcast(seeds)
-    rows = docs.select("doc_id", tokens(F.col(text)).alias("t"))
-    hits = _seeds(rows, masks + short).join(seeds, "h")
-    # Written out place by place: a lambda would end code generation and copy whole token arrays per position.
+    hits = _seeds(docs.select("doc_id", tokens(F.col(text)).alias("t")), masks + short).join(seeds, "h")
+    # Written out place by place: a lambda would end code generation and copy whole texts per position.
     matched = F.lit(0)
     for k in range(-PAD, SPAN + PAD):
-        matched = matched + F.when(F.get("item_t", F.col("item_at") + k) == F.get("t", F.col("at") + k), 1).otherwise(0)
-    hits = hits.select("doc_id", "item_id", matched.alias("matched"), F.least(F.lit(NEED), F.ceil(F.size("item_t") * SHARE)).alias("need"))
-    return hits.where("matched >= need").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_hits"), F.max("matched").cast("bigint").alias("n_matched"))
+        matched = matched + F.when(F.col(f"w{k + PAD}") == F.get("t", F.col("at") + k), 1).otherwise(0)
+    return hits.where(matched >= F.col("need")).groupBy("doc_id", "item_id").agg(F.count("*").alias("n_hits"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
@@ -97,5 +96,5 @@ hits as (select doc_id, item_id, d.t as t, b.t as it, d.pos as dp, b.pos as bt,
   greatest(0, b.pos - {PAD}, b.pos - d.pos) as lo, least(len(b.t), b.pos + {SPAN + PAD}, b.pos - d.pos + len(d.t)) as hi
   from ds d join bs b on d.h = b.h and d.m = b.m),
 v as (select doc_id, item_id, len(list_filter(range(lo, hi), lambda k: it[k + 1] = t[k - bt + dp + 1])) as matched, least({NEED}, ceil(len(it) * {SHARE})) as need from hits)
-select doc_id, item_id, count(*) as n_hits, cast(max(matched) as bigint) as n_matched from v where matched >= need group by 1, 2
+select doc_id, item_id, count(*) as n_hits from v where matched >= need group by 1, 2
 """
