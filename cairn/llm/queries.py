@@ -40,6 +40,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), budget_share=1.0, repeats=4.0).select("doc_id", "source", "epoch", "n_tokens", "before")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import redact_query
+
+    return redact_query(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_rules
 
@@ -51,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_tokens": op4_tokens,
     "op6_decontaminate": op6_decontaminate,
     "op7_mixing": op7_mixing,
+    "op8_pii": op8_pii,
     "op9_quality": op9_quality,
 }
 
