@@ -20,6 +20,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import html_query
+
+    return html_query(table(spark, sf_dir, "pages"))
+
+
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -28,6 +34,12 @@ def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secrets_query
+
+    return secrets_query(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contaminated
 
@@ -54,7 +66,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_html": op3_html,
     "op4_tokens": op4_tokens,
+    "op5_secrets": op5_secrets,
     "op6_decontaminate": op6_decontaminate,
     "op7_mixing": op7_mixing,
     "op8_pii": op8_pii,
