@@ -17,8 +17,8 @@ from zipfile import ZipFile
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch; texts may be long, so batches are kept small.
-BATCH_ROWS = 2000
+#: Most rows and bytes of one Arrow batch; texts may be long.
+BATCH_ROWS, BATCH_BYTES = 20_000, 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,6 +57,7 @@ class Workspace:
         self.tables = 0
         ship(spark)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
         # Shuffle files of a finished write are of no more use.
         spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 

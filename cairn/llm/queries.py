@@ -20,6 +20,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import removed
+
+    return removed(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import html_query
 
@@ -64,8 +70,15 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import removed
+
+    return removed(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_suffix": op2_suffix,
     "op3_html": op3_html,
     "op4_tokens": op4_tokens,
     "op5_secrets": op5_secrets,
@@ -73,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
+    "op10_substring": op10_substring,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._store import BATCH_ROWS, Workspace
+from ._store import Workspace
 
 MAGIC = b"CAIRNTK1"
 END = 2
@@ -248,7 +248,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, text: str = "text
                 system, path = _open(f"{raw}/{part:06d}.parquet")
                 ids, n, control, body, total, rest = [], [], [], [], 0, np.zeros(0, np.uint32)
                 with system.open_input_file(path) as f:
-                    for piece in pq.ParquetFile(f).iter_batches(BATCH_ROWS):
+                    for piece in pq.ParquetFile(f).iter_batches(2000):
                         own = piece.column(1).to_numpy()
                         raw_bytes = b"".join(piece.column(2).to_pylist())
                         width = len(raw_bytes) // max(1, int(own.sum()))
