@@ -178,6 +178,33 @@ def judge(stats: DataFrame, cutoffs: dict[tuple[str, str], int], stratum: str) -
     return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~bad)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text", risk: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their columns.
+
+    Cutoffs are fitted as in :func:`quality_rules`; the rows are then judged
+    where they are read, so that nothing is joined by id.
+    """
+    from ._store import Workspace
+
+    store = Workspace(docs.sparkSession, "quality")
+    cutoffs = fit(store.save(statistics(docs, text, ("doc_id", stratum))), labels, stratum, risk, delta)
+    place, by = docs.columns.index(text), docs.columns.index(stratum)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            strata = np.array([x or "" for x in batch.column(by).to_pylist()], object)
+            for i, j, data, offsets in X.chunks(*X.buffers(batch.column(place))):
+                s = _stats(data, offsets)
+                bad = (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
+                for (stratum_value, rule), level in cutoffs.items():
+                    num, den = (s[c] for c in RULES[rule])
+                    reached = np.where(den > 0, np.minimum(int(STEPS * TOP), num * STEPS // np.maximum(den, 1)), 0)
+                    bad |= (strata[i:j] == stratum_value) & (reached >= level)
+                yield batch.slice(i, j - i).filter(pa.array(~bad))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, delta: float = 0.05) -> DataFrame:
     """doc_id, the counts STATS, ``stratum``, base_failed and kept for each row of ``docs``.
 

@@ -317,3 +317,26 @@ def simhash_groups(docs: DataFrame, text: str = "text", shingle: int = 3) -> Dat
     known = per_fp.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = store.save(known.groupBy("root").agg(F.min("rep").alias("component_id")).join(known.select("fp", "root"), "root").select("fp", "component_id"), "least")
     return fps.join(least, "fp").select("doc_id", "fp", "component_id")
+
+
+#: Ids that are sent to all executors; beyond that the join shuffles.
+BROADCAST_IDS = 500_000
+
+
+def keep_one(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
+    """``docs`` with one document of each group: the one whose doc_id names it.
+
+    Repeated rows of one doc_id with the same text count as one document; an id
+    with several texts stays if it names the group of one of them.  Rows without
+    doc_id stay.
+    """
+    groups = Workspace(docs.sparkSession, "simhash-ids").save(simhash_groups(docs, text, shingle).where("doc_id is not null"))
+    ids = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("named"), F.count("*").alias("n"))
+    gone = ids.where("not named").select("doc_id")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if ids.where("n > 1").head(1):
+        named = kept.where("doc_id is not null").dropDuplicates(["doc_id", text])
+        kept = named.unionByName(kept.where("doc_id is null"))
+    return kept
