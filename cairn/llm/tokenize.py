@@ -86,7 +86,7 @@ def _tokenizer(path: str):
     newline = t.encode("\n", add_special_tokens=False).ids
     if len(newline) != 1:
         raise ValueError("the tokenizer has no id for a newline alone")
-    return t, newline[0], {s for s in t.get_added_tokens_decoder().values()} and [str(s.content) for s in t.get_added_tokens_decoder().values()]
+    return t, newline[0], [s.content for s in t.get_added_tokens_decoder().values()]
 
 
 def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -105,20 +105,91 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+#: A piece that is one word for certain: the model can take it without the pattern.
+_PLAIN = "^ ?[A-Za-z\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{24F}]+$"
+#: Pieces whose ids a worker remembers.
+CACHE = 500_000
+_shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The character for each byte in a byte-level vocabulary.
+_GLYPH = dict(zip(_shown, map(chr, _shown))) | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_shown))}
+
+
+class _Pieces:
+    """Ids of distinct pieces, each encoded once as long as it is remembered."""
+
+    def __init__(self, path: str):
+        self.tok, self.newline, self.special = _tokenizer(path)
+        self.code: dict[str, int] = {}
+        self.ids: list[int] = []
+        self.first = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+
+    def look_up(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(all ids remembered, first, size) with a place per distinct piece."""
+        if len(self.code) > CACHE:
+            self._forget()
+        pieces, code = distinct.to_pylist(), self.code
+        places = [code.get(p, -1) for p in pieces]
+        new = [i for i, c in enumerate(places) if c < 0]
+        if new:
+            fresh = distinct.take(pa.array(new))
+            plain = pc.match_substring_regex(fresh, _PLAIN).to_numpy(zero_copy_only=False)
+            alone = pc.match_substring_regex(fresh, _ALONE).to_numpy(zero_copy_only=False) & ~plain
+            names = fresh.to_pylist()
+            found: list[list[int]] = [[]] * len(names)
+            word = self.tok.model.tokenize
+            for i in np.flatnonzero(plain).tolist():
+                p = names[i]
+                found[i] = [t.id for t in word(p.replace(" ", "\u0120") if p.isascii() else "".join([_GLYPH[b] for b in p.encode()]))]
+            rest = np.flatnonzero(~plain & ~alone).tolist()
+            for k in range(0, len(rest), 4000):
+                part = rest[k : k + 4000]
+                own: list[int] = []
+                place = iter(part)
+                for x in self.tok.encode("\n".join([names[i] for i in part]), add_special_tokens=False).ids:
+                    if x == self.newline:
+                        found[next(place)] = own
+                        own = []
+                    else:
+                        own.append(x)
+                found[next(place)] = own
+            single = np.flatnonzero(alone).tolist()
+            for i, e in zip(single, self.tok.encode_batch([names[i] for i in single], add_special_tokens=False)):
+                found[i] = e.ids
+            size = np.array([len(f) for f in found], np.int64)
+            self.first = np.concatenate((self.first, len(self.ids) + np.cumsum(size) - size))
+            self.size = np.concatenate((self.size, size))
+            for f in found:
+                self.ids += f
+            for i, p in zip(new, names):
+                places[i] = code[p] = len(code)
+        at = np.array(places, np.int64)
+        return np.array(self.ids, np.uint32), self.first[at], self.size[at]
+
+    def _forget(self) -> None:
+        self.code, self.ids = {}, []
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+
+@lru_cache(2)
+def _pieces(path: str) -> _Pieces:
+    return _Pieces(path)
+
+
 def encode(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, and their number per text.
 
-    Equal to encoding each whole text: texts are cut where pieces always end,
-    each distinct piece is encoded once, joined with others by newlines, which
-    are tokens of their own between pieces without blanks inside.  Texts for
-    which that is not sure (rare blanks, strings of special tokens) are encoded
-    whole.
+    Equal to encoding each whole text: texts are cut where pieces always end and
+    each distinct piece is encoded once, words by the model itself, others
+    joined by newlines, which are tokens of their own between pieces without
+    blanks inside.  Texts for which that is not sure (rare blanks, strings of
+    special tokens) are encoded whole.
     """
-    tok, newline, special = _tokenizer(path)
+    known = _pieces(path)
     column = column.cast(pa.large_string())
     column = column.fill_null("") if column.null_count else column
     hard = pc.match_substring_regex(column, _HARD)
-    for s in special:
+    for s in known.special:
         hard = pc.or_(hard, pc.match_substring(column, s))
     whole = np.flatnonzero(hard.to_numpy(zero_copy_only=False))
     easy = pc.if_else(hard, "", column) if len(whole) else column
@@ -129,34 +200,15 @@ def encode(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
         cuts = _cuts(data, offsets)
         pieces = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
         coded = pieces.dictionary_encode()
-        code, distinct = coded.indices.to_numpy(), coded.dictionary
-        alone = pc.match_substring_regex(distinct, _ALONE).to_numpy(zero_copy_only=False)
-        joined = distinct.filter(pa.array(~alone)).to_pylist()
-        flat, size = np.zeros(0, np.uint32), np.zeros(len(distinct), np.int64)
-        parts = [np.array(tok.encode("\n".join(joined[i : i + 4000]), add_special_tokens=False).ids + [newline], np.uint32) for i in range(0, len(joined), 4000)]
-        if parts:
-            flat = np.concatenate(parts)
-            stops = np.flatnonzero(flat == newline)
-            size[~alone] = np.diff(np.concatenate(([-1], stops))) - 1
-            flat = flat[flat != newline]
-        if alone.any():
-            single = [e.ids for e in tok.encode_batch(distinct.filter(pa.array(alone)).to_pylist(), add_special_tokens=False)]
-            size[alone] = [len(e) for e in single]
-            first = np.zeros(len(distinct), np.int64)
-            first[~alone] = np.cumsum(size[~alone]) - size[~alone]
-            first[alone] = len(flat) + np.cumsum(size[alone]) - size[alone]
-            flat = np.concatenate((flat, np.array([i for e in single for i in e], np.uint32)))
-        else:
-            first = np.cumsum(size) - size
+        code = coded.indices.to_numpy()
+        flat, first, size = known.look_up(coded.dictionary)
         n = size[code]
-        at = np.repeat(first[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        ids = flat[at]
         ends = np.concatenate(([0], np.cumsum(n)))
-        bound = ends[np.searchsorted(cuts, offsets)]
-        count = np.diff(bound)
+        ids = flat[np.repeat(first[code] - ends[:-1], n) + np.arange(ends[-1])]
+        count = np.diff(ends[np.searchsorted(cuts, offsets)])
     if len(whole):
         texts = column.take(pa.array(whole)).to_pylist()
-        own = dict(zip(whole.tolist(), (np.array(e.ids, np.uint32) for e in tok.encode_batch(texts, add_special_tokens=False))))
+        own = dict(zip(whole.tolist(), (np.array(e.ids, np.uint32) for e in known.tok.encode_batch(texts, add_special_tokens=False))))
         split = np.split(ids, np.cumsum(count)[:-1])
         split = [own.get(i, x) for i, x in enumerate(split)]
         count = np.array([len(x) for x in split], np.int64)
