@@ -36,7 +36,7 @@ from ._store import Workspace
 TKEY_BITS, N_BITS = 26, 7
 _TKEY, _N = (1 << TKEY_BITS) - 1, (1 << N_BITS) - 1
 #: Blocks that a task compares at a time, and blocks of one gram that a resolver takes.
-FLUSH, HOT = 1_000_000, 5_000
+FLUSH, HOT = 400_000, 5_000
 ROWS = "g bigint, sh bigint, doc bigint, place bigint"
 FOUND = "doc bigint, tkey int, lo bigint, hi bigint, n int, g bigint"
 

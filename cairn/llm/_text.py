@@ -20,7 +20,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INV = np.uint64(pow(int(BASE), -1, 2**64))
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bytes of text that the kernels work on at a time; one longer text is a chunk of its own.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _powers = {}
 
 
