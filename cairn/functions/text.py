@@ -32,10 +32,11 @@ def bare_name(name: Column) -> Column:
 
 
 def name_tokens(name: Column) -> Column:
-    """Parts of a camelCase or snake_case name, lower-cased, without a plural s."""
-    spaced = F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2")
+    """Parts of a camelCase or snake_case name, lower-cased, in the singular."""
+    spaced = F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1_$2")
     parts = F.filter(F.split(F.lower(spaced), "[^a-z0-9]+"), lambda x: x != "")
-    return F.transform(parts, lambda x: F.when((F.length(x) > 3) & F.endswith(x, F.lit("s")) & ~F.endswith(x, F.lit("ss")), F.substr(x, F.lit(1), F.length(x) - 1)).otherwise(x))
+    cut = lambda x: F.when((x != "status") & F.endswith(x, F.lit("s")), F.substr(x, F.lit(1), F.length(x) - 1)).otherwise(x)
+    return F.transform(parts, lambda x: F.when(x == "statuses", "status").when(x == "categories", "category").otherwise(cut(x)))
 
 
 def content_id(prefix: str, *parts: Column, digits: int = 24) -> Column:
