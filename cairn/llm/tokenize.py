@@ -38,7 +38,7 @@ from ._store import Workspace
 MAGIC = b"CAIRNTK1"
 END = 2
 #: Text of one file, and texts encoded at a time.
-FILE_BYTES, PIECE_BYTES = 24 << 20, 8 << 20
+FILE_BYTES, PIECE_BYTES = 24 << 20, 6 << 20
 
 # --- the coding -------------------------------------------------------------
 
@@ -94,13 +94,17 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
     That is before a space after a non-blank; after an ASCII letter before any
     other ASCII byte; and before an ASCII letter after another ASCII byte that
-    is neither a space nor an apostrophe.  Starts of texts are added.
+    is neither a space nor an apostrophe, nor the end of a run of blanks (whose
+    last one is a piece of its own before a letter, but not at an end).  Starts
+    of texts are added.
     """
     cut = np.zeros(len(data) + 1, bool)
     if len(data) > 1:
         a, b = data[:-1], data[1:]
         letter_a, letter_b = _LETTER[a], _LETTER[b]
-        cut[1:-1] = ((b == 32) & ~_BLANK[a]) | (letter_a & _AFTER_LETTER[b]) | (letter_b & _BEFORE_LETTER[a])
+        run = np.zeros(len(a), bool)
+        run[1:] = _BLANK[a[1:]] & _BLANK[a[:-1]]
+        cut[1:-1] = ((b == 32) & ~_BLANK[a]) | (letter_a & _AFTER_LETTER[b]) | (letter_b & _BEFORE_LETTER[a] & ~run)
     cut[offsets] = True
     return np.flatnonzero(cut)
 
@@ -108,10 +112,10 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 #: A piece that is one word for certain: the model can take it without the pattern.
 _PLAIN = "^ ?[A-Za-z\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{24F}]+$"
 #: Pieces whose ids a worker remembers.
-CACHE = 500_000
+CACHE = 600_000
 _shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-#: The character for each byte in a byte-level vocabulary.
-_GLYPH = dict(zip(_shown, map(chr, _shown))) | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_shown))}
+#: The character for each byte that a byte-level vocabulary shows as another one.
+_GLYPH = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_shown))}
 
 
 class _Pieces:
@@ -120,7 +124,7 @@ class _Pieces:
     def __init__(self, path: str):
         self.tok, self.newline, self.special = _tokenizer(path)
         self.code: dict[str, int] = {}
-        self.ids: list[int] = []
+        self.ids = np.zeros(0, np.uint32)
         self.first = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
 
@@ -128,19 +132,20 @@ class _Pieces:
         """(all ids remembered, first, size) with a place per distinct piece."""
         if len(self.code) > CACHE:
             self._forget()
-        pieces, code = distinct.to_pylist(), self.code
+        # By way of numpy, which makes the strings much faster than to_pylist().
+        pieces, code = distinct.to_numpy(zero_copy_only=False).tolist(), self.code
         places = [code.get(p, -1) for p in pieces]
         new = [i for i, c in enumerate(places) if c < 0]
         if new:
             fresh = distinct.take(pa.array(new))
             plain = pc.match_substring_regex(fresh, _PLAIN).to_numpy(zero_copy_only=False)
             alone = pc.match_substring_regex(fresh, _ALONE).to_numpy(zero_copy_only=False) & ~plain
-            names = fresh.to_pylist()
+            names = [pieces[i] for i in new]
             found: list[list[int]] = [[]] * len(names)
             word = self.tok.model.tokenize
             for i in np.flatnonzero(plain).tolist():
                 p = names[i]
-                found[i] = [t.id for t in word(p.replace(" ", "\u0120") if p.isascii() else "".join([_GLYPH[b] for b in p.encode()]))]
+                found[i] = [t.id for t in word(p.replace(" ", "\u0120") if p.isascii() else p.encode().decode("latin-1").translate(_GLYPH))]
             rest = np.flatnonzero(~plain & ~alone).tolist()
             for k in range(0, len(rest), 4000):
                 part = rest[k : k + 4000]
@@ -159,15 +164,14 @@ class _Pieces:
             size = np.array([len(f) for f in found], np.int64)
             self.first = np.concatenate((self.first, len(self.ids) + np.cumsum(size) - size))
             self.size = np.concatenate((self.size, size))
-            for f in found:
-                self.ids += f
+            self.ids = np.concatenate((self.ids, np.fromiter((x for f in found for x in f), np.uint32, int(size.sum()))))
             for i, p in zip(new, names):
                 places[i] = code[p] = len(code)
         at = np.array(places, np.int64)
-        return np.array(self.ids, np.uint32), self.first[at], self.size[at]
+        return self.ids, self.first[at], self.size[at]
 
     def _forget(self) -> None:
-        self.code, self.ids = {}, []
+        self.code, self.ids = {}, np.zeros(0, np.uint32)
         self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
 
