@@ -27,8 +27,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _settle(edges: DataFrame) -> DataFrame:
+    """The distinct edges, partitioned by source and checkpointed: each round then shuffles its frontier only."""
+    return cut(edges.select("src", "dst").distinct().repartition("src"))
+
+
 def k_hop(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     """node, depth: the nodes within ``depth`` steps of the seeds (node), all if None."""
+    edges = _settle(edges)
     frontier = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0).cast("bigint")))
     parts, seen, step = [frontier], frontier, 0
     while depth is None or step < depth:
@@ -48,11 +54,12 @@ def reverse(edges: DataFrame) -> DataFrame:
 
 def impact_closure(old: DataFrame, new: DataFrame, seeds: DataFrame) -> DataFrame:
     """All that depends on the seeds over the edges of both generations."""
-    return k_hop(reverse(old.select("src", "dst").union(new.select("src", "dst")).distinct()), seeds)
+    return k_hop(reverse(old.select("src", "dst").union(new.select("src", "dst"))), seeds)
 
 
 def contexts(edges: DataFrame, entrypoints: DataFrame) -> DataFrame:
     """node, origin: every entrypoint that reaches a node (G5, G15), as a closure of pairs."""
+    edges = _settle(edges)
     frontier = cut(entrypoints.select(F.col("node"), F.col("node").alias("origin")).distinct())
     parts, seen = [frontier], frontier
     while True:
@@ -78,6 +85,7 @@ def loaded_closure(edges: DataFrame, seeds: DataFrame, scopes: DataFrame) -> Dat
 
 def layers(edges: DataFrame, nodes: DataFrame, most: int = 5) -> DataFrame:
     """node, rank: the longest path from a root, at most ``most``."""
+    edges = _settle(edges)
     state = cut(nodes.select("node").distinct().withColumn("rank", F.lit(0).cast("bigint")))
     for _ in range(most):
         pushed = edges.join(state.withColumnRenamed("node", "src"), "src").groupBy("dst").agg(F.max(F.col("rank") + 1).alias("up"))
