@@ -200,7 +200,7 @@ def _(i: Inputs) -> DataFrame:
     return M.layer_violations(edges, layers, allowed).select("src", "dst", F.col("src_layer").alias("from_layer"), F.col("dst_layer").alias("to_layer"))
 
 
-@_query("j26_first_existing", "select o_orderkey as key, case when o_custkey % 2 = 0 and o_custkey in (select s_suppkey from supplier) then o_custkey else o_custkey % 50 + 1 end as path from orders")
+@_query("j26_first_existing", "select * from (select o_orderkey as key, case when o_custkey % 2 = 0 and o_custkey in (select s_suppkey from supplier) then o_custkey else o_custkey % 50 + 1 end as path from orders) where path in (select s_suppkey from supplier)")
 def _(i: Inputs) -> DataFrame:
     c = F.col("o_custkey")
     candidates = i.orders.select(F.col("o_orderkey").alias("key"), F.array(F.when(c % 2 == 0, c), c % 50 + 1).alias("candidates"))
