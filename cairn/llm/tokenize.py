@@ -112,7 +112,7 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 #: A piece that is one word for certain: the model can take it without the pattern.
 _PLAIN = "^ ?[A-Za-z\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{24F}]+$"
 #: Pieces whose ids a worker remembers.
-CACHE = 600_000
+CACHE = 300_000
 _shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: The character for each byte that a byte-level vocabulary shows as another one.
 _GLYPH = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_shown))}
