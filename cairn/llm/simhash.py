@@ -302,17 +302,19 @@ def components(edges: DataFrame, store: Workspace) -> DataFrame:
         state = mark
 
 
-def simhash_groups(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
+def simhash_groups(docs: DataFrame, text: str = "text", shingle: int = 3, also: DataFrame | None = None) -> DataFrame:
     """doc_id, fp and component_id of each row of ``docs``.
 
     component_id is the least doc_id that can be reached over links of at most
     RADIUS bits.  Null and empty texts have fingerprint 0 and are linked like
     any other; rows with a null doc_id get a row but name no component.
     Repeated rows and ids each get a row.  An empty table gives no rows.
+    ``also`` holds further pairs (u, v) of fingerprints that are linked.
     """
     store = Workspace(docs.sparkSession, "simhash")
     fps = store.save(fingerprints(docs, text, shingle), "fps")
-    comp = components(links(fps, store), store)
+    edges = links(fps, store)
+    comp = components(edges if also is None else edges.union(also.select("u", "v")), store)
     per_fp = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     known = per_fp.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = store.save(known.groupBy("root").agg(F.min("rep").alias("component_id")).join(known.select("fp", "root"), "root").select("fp", "component_id"), "least")
@@ -323,14 +325,14 @@ def simhash_groups(docs: DataFrame, text: str = "text", shingle: int = 3) -> Dat
 BROADCAST_IDS = 500_000
 
 
-def keep_one(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", shingle: int = 3, also: DataFrame | None = None) -> DataFrame:
     """``docs`` with one document of each group: the one whose doc_id names it.
 
     Repeated rows of one doc_id with the same text count as one document; an id
     with several texts stays if it names the group of one of them.  Rows without
     doc_id stay.
     """
-    groups = Workspace(docs.sparkSession, "simhash-ids").save(simhash_groups(docs, text, shingle).where("doc_id is not null"))
+    groups = Workspace(docs.sparkSession, "simhash-ids").save(simhash_groups(docs, text, shingle, also).where("doc_id is not null"))
     ids = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("named"), F.count("*").alias("n"))
     gone = ids.where("not named").select("doc_id")
     if gone.count() <= BROADCAST_IDS:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import decontaminate, mixing, quality, simhash, tokenize
+from cairn.llm import decontaminate, mixing, near_copies, quality, simhash, tokenize
 from cairn.llm._store import Workspace
 
 
@@ -14,8 +14,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates: linked by fingerprints, or four fifths of five-word shingles alike."""
+    return simhash.keep_one(docs, also=near_copies.similar(docs, Workspace(spark, "near-copies")))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

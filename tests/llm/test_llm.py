@@ -428,3 +428,39 @@ def test_pipeline(spark, sf):
     mixed = corpus_pipeline.mixing_stage(spark, docs, sf)
     assert mixed.columns == columns and {r.doc_id for r in mixed.select("doc_id").collect()} == ids
     assert corpus_pipeline.run(spark, sf).count() == mixed.count()
+
+
+@pytest.mark.parametrize("which, most_hot", [("odd", 1 << 18), ("odd", 0), ("sf", 1 << 18), ("empty", 1 << 18)])
+def test_near_copies_are_exact(spark, tables, which, most_hot, monkeypatch):
+    """The groups of all pairs with Jaccard 0.8 over five-word shingles, besides those of fingerprints."""
+    from cairn.llm import near_copies
+    from cairn.llm._store import Workspace
+
+    monkeypatch.setattr(near_copies, "MOST_HOT", most_hot)
+    texts = texts_of(tables[which])
+    rng = random.Random(4)
+    extra = []
+    for k in range(60 if which == "odd" else 0):
+        words = [f"v{rng.randrange(500)}" for _ in range(rng.choice([6, 30, 300]))]
+        extra.append(" ".join(words))
+        for i in rng.sample(range(len(words)), k % 7 if len(words) == 300 else 1):
+            words[i] = "Other"
+        extra.append(" ".join(words))
+    texts |= {10_000 + i: t for i, t in enumerate(extra)}
+    fps = {r.doc_id: r.fp & (1 << 64) - 1 for r in simhash.fingerprints(tables[which].select("doc_id", "text")).collect()} if not extra else None
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    fps = fps or {r.doc_id: r.fp & (1 << 64) - 1 for r in simhash.fingerprints(df).collect()}
+    sets = {}
+    for i, t in texts.items():
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    ids, group = sorted(texts), hamming_components(fps)
+    for a in ids:
+        for b in ids:
+            if a < b and group[a] != group[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((group[a], group[b]))
+                group = {i: low if g == high else g for i, g in group.items()}
+    also = near_copies.similar(df, Workspace(spark, "test"))
+    assert {r.doc_id: r.component_id for r in simhash.simhash_groups(df, also=also).collect()} == group
+    if extra:
+        assert len(set(group.values())) < len(set(hamming_components(fps).values()))
