@@ -464,3 +464,19 @@ def test_near_copies_are_exact(spark, tables, which, most_hot, monkeypatch):
     assert {r.doc_id: r.component_id for r in simhash.simhash_groups(df, also=also).collect()} == group
     if extra:
         assert len(set(group.values())) < len(set(hamming_components(fps).values()))
+
+
+def test_pii_adds_spans_of_the_generators(spark):
+    rng = random.Random(6)
+    n = lambda a, b: rng.randint(a, b)
+    rows, good, bad = [], {}, {}
+    for i in range(900):
+        bank = f"{n(0, 10**18 - 1):018d}"
+        check = 98 - int(bank + "131400") % 97
+        valid = [f"ssn {n(100, 600)}-{n(10, 99)}-{n(1000, 9999)}", f"call ({n(220, 300)}) {n(220, 300)}-{n(1000, 9999)}", f"iban DE{check:02d}{bank}", f"write bob{i} (at) host{i}.org"][i % 4]
+        wrong = [f"ssn 000-{n(10, 99)}-{n(1000, 9999)}", f"call 111-{n(100, 199)}-{n(1000, 9999)}", f"iban DE{(check + 1) % 97:02d}{bank}"][i % 3]
+        rows += [(2 * i, valid), (2 * i + 1, wrong)]
+    got = {r.doc_id: [s.kind for s in r.added] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, kind in enumerate(["ssn", "natphone", "iban", "atmail"]):
+        assert all(got[2 * i] == [kind] for i in range(k, 900, 4)), kind
+    assert not any(got[2 * i + 1] for i in range(900))
