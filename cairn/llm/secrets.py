@@ -32,12 +32,17 @@ BASE = {
 }
 #: Further candidates of the method.
 LOOSE = {
-    "key": re.compile(r"(?<![A-Za-z0-9_-])(?:gh[pousr]_[A-Za-z0-9]{20,255}|xox[abprs]-[A-Za-z0-9-]{10,255}|sk-[A-Za-z0-9_-]{20,255}|AIza[A-Za-z0-9_-]{30,64}|eyJ[A-Za-z0-9_-]{10,4096}\.[A-Za-z0-9_-]{4,4096}\.[A-Za-z0-9_-]{4,4096})(?![A-Za-z0-9_-])"),
-    "mixed": re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{24,512}={0,2}(?![A-Za-z0-9+/_=.-])"),
+    "key": re.compile(r"(?<![A-Za-z0-9_-])(?:gh[pousr]_[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk-[A-Za-z0-9_-]{20,}+|AIza[A-Za-z0-9_-]{30,}+|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]{4,}+)(?![A-Za-z0-9_-])"),
+    "mixed": re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_-]{24,}+={0,2}(?![A-Za-z0-9+/_=-]|\.[A-Za-z0-9+/_=-])"),
 }
-KINDS = [*BASE, *LOOSE]
+#: Assignments to names with such a word; of the value only padding holds '=', so values and names are read once each.
+_NAMED = "pass|pwd|secret|token|key|cred|auth|private|signature"
+_NAME = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_.-]++)[\"']?\x20*+[:=]\x20*+[\"']?")
+_VALUE = re.compile(r"[A-Za-z0-9+/_-](?:[A-Za-z0-9+/_-]|\.(?=[A-Za-z0-9+/_-]))*+={0,2}(?![A-Za-z0-9+/_=-])")
+_IS_NAMED = re.compile(f"(?i:{_NAMED})")
+KINDS = [*BASE, *LOOSE, "named"]
 #: A text without a match of this (RE2, so linear) has no candidate at all.
-_ANY = f"(?:{_WORD})[\"']?\\x20*[:=]|AKIA[A-Z0-9]{{12}}|[0-9a-f]{{32}}|[A-Za-z0-9+/_-]{{24}}|gh[pousr]_|xox[abprs]-|sk-|eyJ|AIza"
+_ANY = f"(?:{_WORD})[\"']?\\x20*[:=]|AKIA[A-Z0-9]{{12}}|[0-9a-f]{{32}}|[A-Za-z0-9+/_-]{{24}}|gh[pousr]_|xox[abprs]-|sk-|eyJ|AIza|(?i:{_NAMED})[A-Za-z0-9_.-]*[\"']?\x20*[:=]"
 #: Fewest bits per character of a live-looking value.
 ENTROPY = 3.5
 _SPANS = "array<struct<kind:string,start:bigint,end:bigint,value:string,live:boolean>>"
@@ -62,6 +67,9 @@ def scan(text: str) -> tuple[list[dict], list[dict]]:
     for rank, (kind, pattern) in enumerate(LOOSE.items()):
         for m in pattern.finditer(text):
             loose.append((m.start(), rank, {"kind": kind, "start": m.start(), "end": m.end(), "value": m[0]}))
+    for m in _NAME.finditer(text):
+        if _IS_NAMED.search(m[1]) and (v := _VALUE.match(text, m.end())) and len(v[0]) >= 8:
+            loose.append((v.start(), len(LOOSE), {"kind": "named", "start": v.start(), "end": v.end(), "value": v[0]}))
     out = []
     for found in (base, loose):
         found.sort(key=lambda x: x[:2])

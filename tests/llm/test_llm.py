@@ -480,3 +480,14 @@ def test_pii_adds_spans_of_the_generators(spark):
     for k, kind in enumerate(["ssn", "natphone", "iban", "atmail"]):
         assert all(got[2 * i] == [kind] for i in range(k, 900, 4)), kind
     assert not any(got[2 * i + 1] for i in range(900))
+
+
+def test_secret_assignments_and_long_runs(spark):
+    rng = random.Random(9)
+    rand = lambda n: "".join(rng.choice("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+    short, token, run, part = rand(20), rand(32), rand(900), rand(5000)
+    texts = [f"AWS_SECRET_ACCESS_KEY={token}", f"x: DB_PASS = '{short}'.", f"It is {rand(40)}.", f"v={rand(30)}", f"see {run} there", f"eyJ{part}.{part}.{part}", f"{rand(30)}=x", "passage: words follow here"]
+    df = spark.createDataFrame([(i, t, "a", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: {(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.added} for r in secrets.find_secrets(df).collect()}
+    assert ("named", token) in got[0] and ("named", short) in got[1] and ("mixed", run) in got[4]
+    assert {k for k, _ in got[2]} == {k for k, _ in got[3]} == {"mixed"} and ("key", texts[5]) in got[5] and not got[6] and not got[7]
