@@ -4,8 +4,8 @@ A tree builder with implied tags (an open ``p`` ends before a block, ``li``,
 ``dt``, ``td``, ``tr`` and ``option`` before their like, void elements have no
 content) feeds a renderer with rules of visibility and of block spacing:
 
-* nothing inside head, script, style, template, noscript, svg, or an element
-  with the attribute ``hidden``, ``aria-hidden="true"`` or a style of
+* nothing inside head, script, style, template, noscript, definitions of svg or
+  math, or an element with the attribute ``hidden`` or a style of
   ``display:none`` or ``visibility:hidden`` is shown;
 * white space is collapsed except in ``pre`` and ``textarea``; blocks start on
   a new line, paragraphs and headings with an empty line between;
@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 
 from ._store import Workspace
 
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?)?)*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("head script style template noscript svg math iframe object canvas audio video datalist title".split())
+SILENT = frozenset("head script style template noscript iframe object canvas audio video datalist title".split())
+#: Not shown inside svg or math.
+FOREIGN_SILENT = frozenset("defs desc metadata symbol clippath mask pattern marker annotation annotation-xml".split())
 #: Their content is no markup up to the end tag.
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr".split())
@@ -155,7 +157,7 @@ def _hidden(attrs: str) -> bool:
         return False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
-        if name == "hidden" and value.lower() != "until-found" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDING.search(value):
+        if name == "hidden" and value.lower() != "until-found" or name == "style" and _HIDING.search(value):
             return True
     return False
 
@@ -198,7 +200,7 @@ def render(source: str) -> str:
             elif kind == "indent":
                 flow.indent, flow.mark = value, ""
                 flow.block(1)
-        elif tag in BLOCK and not hiding:
+        elif (tag in BLOCK or tag == "text" and count.get("svg")) and not hiding:
             flow.block(2 if tag in PARAGRAPH else 1)
 
     def close(tags: set[str], bounds: set[str]) -> None:
@@ -214,7 +216,8 @@ def render(source: str) -> str:
 
     def enter(tag: str, attrs: str) -> None:
         nonlocal flow, hiding, pre
-        hides = int(tag in SILENT or _hidden(attrs))
+        foreign = count.get("svg") or count.get("math")
+        hides = int(tag in SILENT or bool(foreign) and tag in FOREIGN_SILENT or _hidden(attrs))
         hiding += hides
         old = None
         if tag in ("pre", "textarea", "xmp"):
@@ -249,7 +252,7 @@ def render(source: str) -> str:
                 flow.block(2 if tag == "blockquote" else 1)
                 old = ("indent", flow.indent)
                 flow.indent += 2
-            elif tag in BLOCK:
+            elif tag in BLOCK or tag == "text" and foreign:
                 flow.block(2 if tag in PARAGRAPH else 1)
         stack.append([tag, hides, old])
         count[tag] = count.get(tag, 0) + 1
@@ -261,13 +264,8 @@ def render(source: str) -> str:
         if end > at and not hiding:
             s = html.unescape(source[at:end])
             # Text straight inside a table's rows is shown before the table.
-            home = flow
-            if tables and not (stack and stack[-1][2] and stack[-1][2][0] in ("cell", "caption")) and stack and stack[-1][0] in ("table", "tr", "tbody", "thead", "tfoot") and s.strip():
-                home = tables[-1].outer
-            if home is flow and tables and stack and stack[-1][0] in ("table", "tr", "tbody", "thead", "tfoot"):
-                pass
-            else:
-                home.text(s, bool(pre))
+            if s.strip() or not (tables and stack and stack[-1][0] in ("table", "tr", "tbody", "thead", "tfoot")):
+                flow.text(s, bool(pre))
         if not m:
             break
         at = m.end()
@@ -310,6 +308,8 @@ def render(source: str) -> str:
             close_at = source.find(">", stop.end())
             at = n if close_at < 0 else close_at + 1
             continue
+        if m[3].endswith("/") and (tag in ("svg", "math") or count.get("svg") or count.get("math")):
+            continue
         enter(tag, m[3] or "")
         if tag == "pre" and source.startswith("\n", at):
             at += 1

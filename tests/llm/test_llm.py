@@ -491,3 +491,13 @@ def test_secret_assignments_and_long_runs(spark):
     got = {r.doc_id: {(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.added} for r in secrets.find_secrets(df).collect()}
     assert ("named", token) in got[0] and ("named", short) in got[1] and ("mixed", run) in got[4]
     assert {k for k, _ in got[2]} == {k for k, _ in got[3]} == {"mixed"} and ("key", texts[5]) in got[5] and not got[6] and not got[7]
+
+
+@pytest.mark.parametrize("source, text", [
+    ("<table>Note<tr><td>a</table>", "Note\n\na"), ("<table><tr> <td>a</td> b <td>c</table>", "b\n\na  c"),
+    ('<p class=x">one</p> two "three"', "one\n\ntwo \"three\""), ("<a title=Joe's>one</a> it's two", "one it's two"), ('<a title = "a>b">x</a>', "x"),
+    ("<a b'>one</a> 'two'", "one 'two'"), ("<i aria-hidden='true'>seen</i>", "seen"),
+    ("<svg><title>t</title><defs><text>d</text></defs><path/><text>a</text><text>b</text></svg><math><mi>x</mi></math>", "a\nb\nx"),
+])
+def test_html_loses_no_visible_text(source, text):
+    assert render(source) == text
