@@ -26,24 +26,23 @@ def _least(key: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(right[: n - span + 1], left[span - 1 : n])
 
 
-def blocks(codes: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> dict[str, np.ndarray]:
-    """Of each block: row, lo (symbol in the row), n (windows), gram and block hash; in order of place.
+def blocks(rough: np.ndarray, codes: tuple[np.ndarray, np.ndarray], offsets: np.ndarray, width: int, gram: int) -> dict[str, np.ndarray]:
+    """Of each block: row, lo (symbol in the row), n (windows), at (the anchor, from lo), gram and two block hashes; in order of place.
 
-    ``codes`` are 64-bit codes of the symbols of all rows, ``offsets`` bounds of rows.
+    ``rough`` are codes of the symbols of all rows for the choice of anchors,
+    ``codes`` those that the two hashes are made of, ``offsets`` bounds of rows.
     """
     none = np.zeros(0, np.int64)
-    empty = {"row": none, "lo": none, "n": none, "g": none.view(np.uint64), "sh": none.view(np.uint64)}
-    if len(codes) < width:
+    empty = {"row": none, "lo": none, "n": none, "at": none, "g": none.view(np.uint64), "sh": none.view(np.uint64), "v": none.view(np.uint64)}
+    if len(rough) < width:
         return empty
-    prefix = X.prefix_hash(codes)
-    start = np.arange(len(codes) - gram + 1)
-    g = X.range_hash(prefix, start, start + gram)
-    bits = np.uint64(max(1, int(len(codes)).bit_length()))
+    g = X.rough_hashes(rough, gram)
+    bits = np.uint64(max(1, int(len(rough)).bit_length()))
     low = (np.uint64(1) << bits) - np.uint64(1)
-    least = _least((g & ~low) | start.astype(np.uint64), width - gram + 1)
+    least = _least((g & ~low) | np.arange(len(g), dtype=np.uint64), width - gram + 1)
     # Windows inside one row.
     size = np.diff(offsets)
-    ok = np.zeros(len(codes) + 1, np.int8)
+    ok = np.zeros(len(rough) + 1, np.int8)
     long = size >= width
     ok[offsets[:-1][long]] += 1
     np.subtract.at(ok, offsets[1:][long] - width + 1, 1)
@@ -57,15 +56,15 @@ def blocks(codes: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> dic
     first = np.flatnonzero(head)
     n = np.diff(np.concatenate((first, [len(at)])))
     lo = at[first]
-    return {"row": row[first], "lo": lo - offsets[row[first]], "n": n, "g": g[anchor[first]], "sh": X.range_hash(prefix, lo, lo + n + width - 1)}
+    sh, v = (X.range_hash(X.prefix_hash(c, k), lo, lo + n + width - 1, k) for k, c in enumerate(codes))
+    return {"row": row[first], "lo": lo - offsets[row[first]], "n": n, "at": anchor[first] - lo, "g": g[anchor[first]], "sh": sh, "v": v}
 
 
-def byte_codes(data: np.ndarray) -> np.ndarray:
-    return X.BYTE_CODE[data]
+def word_codes(data: np.ndarray, offsets: np.ndarray, point: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (1 .. 2**61 - 2) of all words, and the bounds of rows among them."""
+    start, end, row = X.words(data, offsets)
+    return codes_of(data, start, end, point), np.searchsorted(row, np.arange(len(offsets)))
 
 
-def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all words, and the bounds of rows among them."""
-    start, end, row = X.words(data, offsets)
-    codes = X.range_hash(X.prefix_hash(X.BYTE_CODE[data]), start, end) | np.uint64(1)
-    return codes, np.searchsorted(row, np.arange(len(offsets)))
+def codes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray, point: int) -> np.ndarray:
+    return X.range_hash(X.prefix_hash(data, point), start, end, point) % (X.PRIME - np.uint64(1)) + np.uint64(1) if len(start) else np.zeros(0, np.uint64)

@@ -48,7 +48,6 @@ def _stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     n = len(offsets) - 1
     start, end, row = X.words(data, offsets)
     inside = X.cover(start, end, len(data))
-    prefix = X.prefix_hash(X.BYTE_CODE[data])
     out = {
         "n_words": np.bincount(row, minlength=n),
         "word_chars": X.per_row(inside & ((data & 0xC0) != 0x80), offsets),
@@ -66,20 +65,22 @@ def _stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     has = np.searchsorted(start, hi) > np.searchsorted(start, lo)
     lo, hi = lo[has], hi[has]
     line_row = np.searchsorted(offsets, lo, "right") - 1
-    key = X.mix(X.range_hash(prefix, lo, hi) + line_row.astype(np.uint64) * X.M1)
-    order = np.argsort(key, kind="stable")
+    order = np.lexsort((line := X.classes(data, lo, hi), line_row))
     again = np.zeros(len(order), bool)
-    again[1:] = key[order][1:] == key[order][:-1]
+    again[1:] = (line[order][1:] == line[order][:-1]) & (line_row[order][1:] == line_row[order][:-1])
     out["n_lines"] = np.bincount(line_row, minlength=n)
     out["n_dup_lines"] = np.bincount(line_row[order[again]], minlength=n)
-    # Windows of three words that occur twice in their text.
-    h = X.range_hash(prefix, start, end)
+    # Windows of three words that occur twice in their text; words are numbered by their bytes.
     covered = np.zeros(len(start), bool)
     if len(start) > 2:
+        word = X.classes(data, start, end)
+        kinds = int(word.max()) + 1
         w = np.flatnonzero(row[2:] == row[:-2])
-        key = X.mix(h[w] * X.M1 + h[w + 1] * X.BASE + h[w + 2] + row[w].astype(np.uint64) * X.M2)
-        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        twice = w[count[inverse] > 1]
+        pair = np.unique(word[w] * kinds + word[w + 1], return_inverse=True)[1]
+        window = pair * kinds + word[w + 2]
+        order = np.lexsort((window, row[w]))
+        twin = (window[order][1:] == window[order][:-1]) & (row[w][order][1:] == row[w][order][:-1])
+        twice = w[order[np.concatenate((twin, [False])) | np.concatenate(([False], twin))]] if len(w) else w
         covered = X.cover(twice, twice + 3, len(start))
     out["n_repeat_words"] = np.bincount(row, weights=covered, minlength=n).astype(np.int64)
     return out

@@ -128,9 +128,8 @@ def _array_repeats(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple
     row = np.searchsorted(to, order, "right") - 1
     ok = (row < len(size)) & (order + WIDTH <= to[np.minimum(row + 1, len(size))] - 1)
     order, row = order[ok], row[ok]
-    h = X.range_hash(X.prefix_hash(X.BYTE_CODE[text[:-1] & 0xFF]), order, order + WIDTH)
     new = np.ones(len(order), bool)
-    new[1:] = h[1:] != h[:-1]
+    new[1:] = ~X.same(text, order[1:], order[:-1], np.full(max(0, len(order) - 1), WIDTH))
     kind = np.cumsum(new) - 1
     first = np.full(kind[-1] + 1 if len(kind) else 0, len(text))
     np.minimum.at(first, kind, order)
@@ -138,25 +137,31 @@ def _array_repeats(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple
     return row[again], order[again] - to[row[again]]
 
 
+def _first_of(raw: np.ndarray, key: tuple[np.ndarray, ...], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each range the first one with its key and its bytes; ranges of one hash are compared byte by byte."""
+    h = X.range_hash(X.prefix_hash(raw), start, end)
+    order = np.lexsort((np.arange(len(h)), h, end - start, *key))
+    same = np.ones(len(h), bool)
+    for x in (h, end - start, *key):
+        same[1:] &= x[order][1:] == x[order][:-1]
+    same[:1] = False
+    first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))]
+    out = np.empty(len(h), np.int64)
+    out[order] = first
+    return np.where(X.same(raw, start, start[out], end - start), out, np.arange(len(h)))
+
+
 def resolve(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ranges of repeated bytes among blocks of the same gram."""
-    g, doc, place = (table.column(c).to_numpy() for c in ("g", "doc", "place"))
+    g, doc, tkey, place = (table.column(c).to_numpy() for c in ("g", "doc", "tkey", "place"))
     body = table.column("content").combine_chunks()
     body = body.chunk(0) if isinstance(body, pa.ChunkedArray) else body
     raw, bound = X.buffers(body.cast(pa.large_binary()).view(pa.large_string()))
-    lo, tkey, _ = R.unpack(place)
-    prefix = X.prefix_hash(X.BYTE_CODE[raw])
+    lo, at, _ = R.unpack(place)
     new = np.ones(len(g), bool)
     new[1:] = g[1:] != g[:-1]
     gid = np.cumsum(new) - 1
-    # The anchor is the first place with the hash of the gram.
-    at = np.arange(max(0, len(raw) - GRAM + 1))
-    row = np.searchsorted(bound, at, "right") - 1
-    hit = X.range_hash(prefix, at, at + GRAM).view(np.int64) == g[row]
-    at, row = at[hit], row[hit]
-    row, first = np.unique(row, return_index=True)
-    anchor = np.zeros(len(g), np.int64)
-    anchor[row] = at[first]
+    anchor = bound[:-1] + at
     out: list[tuple] = []
     live = np.arange(len(g))
     start, end = bound[:-1].copy(), bound[1:].copy()
@@ -167,10 +172,7 @@ def resolve(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         start[live], end[live] = anchor[live] - left, anchor[live] + GRAM + right
         live = live[(left >= 0) & (end[live] - start[live] >= WIDTH)]
         # Equal rests: all but the first are repeats.
-        h = X.mix(X.range_hash(prefix, start[live], end[live]) + (anchor[live] - start[live]).astype(np.uint64) * X.M1 + gid[live].astype(np.uint64) * X.BASE)
-        _, first = np.unique(h, return_index=True)
-        again = np.ones(len(live), bool)
-        again[first] = False
+        again = _first_of(raw, (anchor[live] - start[live], gid[live]), start[live], end[live]) != np.arange(len(live))
         rows = live[again]
         off = lo[rows] - bound[rows]
         out.append((doc[rows], tkey[rows], off + start[rows], off + end[rows]))
@@ -201,10 +203,12 @@ def removed(docs: DataFrame, text: str = "text") -> DataFrame:
     A byte is removed if a string of WIDTH bytes that covers it also starts
     earlier: in a smaller doc_id, or in the same document.  Null and short texts
     lose nothing.  Rows of one doc_id count as one document: equal texts as one
-    row, different ones in the order of their starts.  A null doc_id comes first.
+    row, different ones one after the other in the order of their bytes.  All
+    rows with a null doc_id are such a document, and it comes first.
     """
     store = Workspace(docs.sparkSession, "suffix")
-    found = R.repeats(docs, text, UNIT, resolve, store)
+    texts = R.keyed(docs, text, store)
+    found = R.repeats(texts, UNIT, resolve, store)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,5 +226,5 @@ def removed(docs: DataFrame, text: str = "text") -> DataFrame:
             body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(to) - 1, [None, pa.py_buffer(to.astype(np.int64)), pa.py_buffer(kept)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(n_removed), pa.array(X.per_row(edge, offsets)), pa.array(digest, pa.string()), body], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    out = R.spans_by_document(docs, text, found).mapInArrow(run, "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    out = R.spans_by_document(texts, found).mapInArrow(run, "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     return out.select(R.doc_id(out["doc"]).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")

@@ -120,12 +120,9 @@ def test_suffix_array_by_lyndon_groups():
         assert suffix_dedup.suffix_array(t) == sorted(range(len(t)), key=lambda i: t[i:])
 
 
-@each
-@pytest.mark.parametrize("hot", [5000, 3])
-def test_suffix_dedup(tables, which, hot, monkeypatch):
-    monkeypatch.setattr(R, "HOT", hot)
+def brute_suffix(texts):
     seen, expected = set(), {}
-    for i, t in sorted(texts_of(tables[which]).items()):
+    for i, t in sorted(texts.items()):
         b = t.encode()
         gone = bytearray(len(b))
         for s in range(len(b) - 99):
@@ -134,6 +131,14 @@ def test_suffix_dedup(tables, which, hot, monkeypatch):
             seen.add(b[s : s + 100])
         kept = bytes(c for c, g in zip(b, gone) if not g)
         expected[i] = (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest())
+    return expected
+
+
+@each
+@pytest.mark.parametrize("hot", [5000, 3])
+def test_suffix_dedup(tables, which, hot, monkeypatch):
+    monkeypatch.setattr(R, "HOT", hot)
+    expected = brute_suffix(texts_of(tables[which]))
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed(tables[which]).collect()}
     assert got == expected
 
@@ -180,6 +185,73 @@ def test_quality_counts(tables, which):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered))
 
 
+def thue_morse(n, flip=0):
+    return "".join("ab"[(i.bit_count() + flip) & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_no_clash_of_structured_texts(spark, size):
+    """Texts on which every polynomial modulo a power of two clashes are told apart as words, lines, windows and bytes."""
+    a, b = thue_morse(size), thue_morse(size, 1)
+    start = np.array([0, size + 1])
+    data = np.frombuffer(f"{a} {b}".encode(), np.uint8)
+    for point in (0, 1):
+        h = quality.X.range_hash(quality.X.prefix_hash(data, point), start, start + size, point)
+        assert h[0] != h[1]
+    words = [f"w{i}" for i in range(13)]
+    texts = [" ".join([*words[:6], a, *words[7:]]), " ".join([*words[:6], b, *words[7:]]), f"{a}\n{b}\nx y {a} x y {b}", a + b, b + a]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.removed(df).orderBy("doc_id").collect()] == [0] * 5
+    assert {r.doc_id: (r.n_words, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed(df).withColumnRenamed("n_bytes", "n_words").collect()} == brute_suffix(dict(enumerate(texts)))
+    r = quality.statistics(df).where("doc_id = 2").first()
+    assert (r.n_dup_lines, r.n_repeat_words) == (0, 0)
+
+
+def test_equal_hashes_do_not_make_equal_ranges(monkeypatch):
+    """With all hashes alike, ranges are still told apart by their bytes."""
+    from cairn.llm import _text as X
+
+    data = np.frombuffer(b"ab cd ab abc", np.uint8)
+    start, end = np.array([0, 3, 6, 9]), np.array([2, 5, 8, 12])
+    monkeypatch.setattr(X, "range_hash", lambda prefix, a, b, point=0: np.zeros(len(a), np.uint64))
+    got = X.classes(data, start, end).tolist()
+    assert got[0] == got[2] and len(set(got)) == 3
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    """Many rows without an id, and an id with several texts; equal texts of an id give equal rows."""
+    rng = random.Random(8)
+    rows = [(None, " ".join(str(rng.randrange(10**6)) for _ in range(30))) for _ in range(300)]
+    rows += [(None, rows[7][1]), (3, rows[5][1]), (3, rows[5][1] + " more"), (3, None), (4, rows[6][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for op, length in ((substring_dedup, lambda t: len(t.split())), (suffix_dedup, len)):
+        got = sorted((r.doc_id or -1, r.n_removed) for r in op.removed(df).collect())
+        assert len(got) == len(rows) and sum(n for i, n in got if i == -1) == 0
+        assert [n for i, n in got if i == 3] == sorted([0, length(rows[5][1]), length(rows[5][1])]) and [n for i, n in got if i == 4] == [length(rows[6][1])]
+
+
+def test_a_gram_in_a_third_of_all_texts(spark, monkeypatch):
+    """A run of blanks before differing texts is one gram of many kinds: its windows are keyed one by one."""
+    monkeypatch.setattr(R, "HOT", 50)
+    rng = random.Random(12)
+    texts = [" " * 60 + "".join(rng.choice("abcdefgh") for _ in range(150)) + ("same tail " * 12 if i % 3 else "") for i in range(200)]
+    texts += ["".join(rng.choice("abcdefgh") for _ in range(210)) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed(df).collect()}
+    assert got == brute_suffix(dict(enumerate(texts)))
+
+
+def test_longest_factor_over_all_references():
+    known = substring_dedup.References()
+    w = [f"w{i} " for i in range(20)]
+    for tail in (w[13:15], w[13:18] + ["q "], w[13:14] + ["zz "]):
+        body = "".join(w[:13] + tail).encode()
+        known.add(body, substring_dedup._ends(body))
+    body = "".join(w).encode()
+    assert known.longest(body, substring_dedup._ends(body), 0) == 18
+    assert known.longest(body, substring_dedup._ends(body), 6) == 0
+
+
 def test_binomial_tail_is_exact():
     from math import comb
 
