@@ -1,18 +1,23 @@
 """Quality rules whose cutoffs carry a risk guarantee.
 
-Each rule rejects a text whose statistic is at or above a cutoff.  Cutoffs are
-chosen per stratum on labelled rows so that the rate of good texts rejected is
-at most ``risk``, at confidence ``1 - delta`` for all strata and rules together:
-
-* per rule the risk is ``risk / rules`` (a union bound over the rules);
-* a cutoff is accepted if the exact binomial tail P(X <= k | n, risk/rules) of
-  its k false rejections among n good texts is at most ``delta / (strata *
-  rules)`` (Bonferroni over strata and rules);
-* the cutoffs of a rule are tried from the loosest to the tightest and the
-  search ends at the first that fails, so that no further correction is needed
-  within a rule.
-
-A stratum with too few good texts gets no cutoff and rejects nothing.
+Each rule rejects a text whose statistic is at or above a cutoff.  The cutoffs
+of all rules are tightened together, along a path that the documents labelled
+bad and the unlabelled ones fix: a cutoff comes the earlier, the larger the share
+of the bad that it rejects is against the share of the unlabelled.  How far to go
+is chosen per stratum on the documents labelled good, such that the rate of good
+texts rejected by any rule is at most ``risk``, at confidence ``1 - delta`` for
+all strata together:
+
+* a step is accepted if the exact binomial tail P(X <= k | n, risk) of its k
+  false rejections among n good texts is at most ``delta / strata`` (Bonferroni
+  over the strata);
+* steps are tried from the loosest on and the search ends at the first that
+  fails (a fixed sequence of tests), so that no further correction is needed
+  for steps or rules.  The path does not look at the good texts.
+
+Strata whose good texts are too few for TOLERATED false rejections, and those beyond the
+``max_strata`` largest, are judged together as one stratum, for which the
+guarantee then holds as a whole.
 """
 
 from __future__ import annotations
@@ -42,6 +47,11 @@ RULES = {
 }
 #: Cutoffs are multiples of 1/STEPS, up to TOP.
 STEPS, TOP = 50, 2.0
+LEVELS = int(STEPS * TOP) + 1
+#: False rejections that a stratum of its own has room for.
+TOLERATED = 3
+#: Steps of the path: shares of the greatest enrichment of the bad; below ENRICHED a cutoff is of no use.
+SHARES, ENRICHED = tuple((19 - j) / 20 for j in range(19)), 1.5
 
 
 def _stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
@@ -141,66 +151,122 @@ def _level(rule: str) -> F.Column:
     return F.when(F.col(den) > 0, F.least(F.lit(int(STEPS * TOP)), F.floor(F.col(num) * STEPS / F.col(den)))).otherwise(0).cast("int")
 
 
-def fit(stats: DataFrame, labels: DataFrame, stratum: str, risk: float = 0.02, delta: float = 0.05, max_strata: int = 1000) -> dict[tuple[str, str], int]:
-    """(stratum, rule) -> lowest level that is rejected, from all labelled rows of ``stats``.
+Cutoffs = tuple[dict[str, list[int]], dict[str, int], int]
+
+
+def _enrichment(bad: dict[int, int], other: dict[int, int]) -> list[float]:
+    """Of each level of a rule: the best enrichment of a cutoff that rejects it; cautious where counts are small."""
+    n_bad, n_other = sum(bad.values()), sum(other.values())
+    tail_bad, tail_other, out = sum(bad.values()) - bad.get(0, 0), n_other - other.get(0, 0), [0.0] * LEVELS
+    for level in range(1, LEVELS):
+        if bad.get(level):
+            out[level] = (tail_bad - math.sqrt(tail_bad)) / n_bad / ((tail_other + math.sqrt(tail_other) + 1) / (n_other + 1))
+        out[level] = max(out[level], out[level - 1])
+        tail_bad, tail_other = tail_bad - bad.get(level, 0), tail_other - other.get(level, 0)
+    return out
+
+
+def _paths(bad: dict[str, dict[int, int]], other: dict[str, dict[int, int]]) -> dict[str, list[int]]:
+    """Rule -> the first step that rejects each level; len(SHARES) for none."""
+    score = {r: _enrichment(bad[r], other[r]) for r in RULES}
+    most = max(x[-1] for x in score.values())
+    # Without unlabelled documents there is nothing to be enriched against.
+    least = ENRICHED if any(other.values()) else 1e-9
+    first = lambda e: next((j for j, f in enumerate(SHARES) if e >= max(f * most, least)), len(SHARES))
+    return {r: [first(e) for e in score[r]] for r in RULES}
+
+
+def _step(paths: dict[str, list[int]]) -> F.Column:
+    return F.least(*(F.element_at(F.array(*(F.lit(x) for x in paths[r])), _level(r) + 1) for r in RULES))
+
+
+def _furthest(by: dict[int, int], risk: float, share: float) -> int:
+    """The last accepted step, from counts of good texts by the step that rejects them; -1 for none."""
+    n, rejected = sum(by.values()), 0
+    for j in range(len(SHARES)):
+        rejected += by.get(j, 0)
+        if binomial_tail(rejected, n, risk) > share:
+            return j - 1
+    return len(SHARES) - 1
+
+
+def enough(risk: float, share: float) -> int:
+    """The fewest good texts at which TOLERATED false rejections are accepted."""
+    low, high = TOLERATED, 1 << 40
+    while high - low > 1:
+        n = (low + high) // 2
+        low, high = (low, n) if binomial_tail(TOLERATED, n, risk) <= share else (n, high)
+    return high
+
+
+def fit(stats: DataFrame, labels: DataFrame, stratum: str, risk: float = 0.02, delta: float = 0.05, max_strata: int = 1000) -> Cutoffs:
+    """The path (rule -> step of each level), the last step of each stratum of its own, and that of all others together.
 
     ``labels`` has doc_id and quality (1 good, 0 bad); of several labels of one
     document the best counts, null labels count for nothing.  Only histograms
-    reach the driver: at most ``max_strata`` strata (the largest; others get no
-    cutoff, hence reject nothing) times rules times levels.
+    reach the driver: of levels by rule, and of steps for ``max_strata`` strata.
     """
-    good = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("__q")).where("__q = 1").select("doc_id")
-    known = stats.where(~base_failed()).join(good, "doc_id", "left_semi").select(F.coalesce(F.col(stratum), F.lit("")).alias("s"), F.array(*(F.struct(F.lit(r).alias("rule"), _level(r).alias("level")) for r in RULES)).alias("x"))
-    strata = known.groupBy("s").count().orderBy(F.desc("count"), "s").limit(max_strata)
-    counts = known.join(strata.select("s"), "s", "left_semi").select("s", F.inline("x")).groupBy("s", "rule", "level").count().collect()
-    hist: dict[tuple[str, str], dict[int, int]] = {}
-    for c in counts:
-        hist.setdefault((c["s"], c["rule"]), {})[c["level"]] = c["count"]
-    out, share = {}, delta / max(1, len(hist))
-    for key, by in hist.items():
-        n, rejected = sum(by.values()), 0
-        for level in range(int(STEPS * TOP), 0, -1):
-            rejected += by.get(level, 0)
-            if binomial_tail(rejected, n, risk / len(RULES)) > share:
-                break
-            out[key] = level
-    return out
+    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.max("quality") == 1).alias("__good"))
+    able = stats.where(~base_failed()).join(known, "doc_id", "left")
+    able = able.select(F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("s"), F.col("__good").alias("good"), *(_level(r).alias(r) for r in RULES))
+    bad: dict[str, dict[int, int]] = {r: {} for r in RULES}
+    other: dict[str, dict[int, int]] = {r: {} for r in RULES}
+    each = able.where("good is null or not good").select("good", F.inline(F.array(*(F.struct(F.lit(x).alias("rule"), F.col(x).alias("level")) for x in RULES))))
+    for r in each.groupBy("good", "rule", "level").count().collect():
+        (other if r["good"] is None else bad)[r["rule"]][r["level"]] = r["count"]
+    paths = _paths(bad, other)
+    step = F.least(*(F.element_at(F.array(*(F.lit(x) for x in paths[r])), F.col(r) + 1) for r in RULES))
+    known = able.where("good").select("s", step.alias("step"))
+    sizes = known.groupBy("s").count()
+    # Enough good texts for TOLERATED of them to be rejected; the share of the error grows as fewer strata are left.
+    strata = max_strata
+    while True:
+        own = {r["s"] for r in sizes.where(F.col("count") >= enough(risk, delta / (strata + 1))).orderBy(F.desc("count"), "s").limit(max_strata).collect()}
+        if len(own) >= strata:
+            break
+        strata = len(own)
+    hist: dict[str | None, dict[int, int]] = {None: {}}
+    named = F.when(F.col("s").isin(*own), F.col("s")) if own else F.lit(None).cast("string")
+    for r in known.groupBy(named.alias("s"), "step").count().collect():
+        hist.setdefault(r["s"], {})[r["step"]] = r["count"]
+    share = delta / len(hist)
+    last = {s: _furthest(by, risk, share) for s, by in hist.items()}
+    return paths, {s: x for s, x in last.items() if s is not None}, last[None]
 
 
-def judge(stats: DataFrame, cutoffs: dict[tuple[str, str], int], stratum: str) -> DataFrame:
+def judge(stats: DataFrame, cutoffs: Cutoffs, stratum: str) -> DataFrame:
     """``stats`` with base_failed and kept."""
-    s = F.coalesce(F.col(stratum), F.lit(""))
-    bad = F.lit(False)
-    for rule in RULES:
-        per = {st: c for (st, r), c in cutoffs.items() if r == rule}
-        if per:
-            level = F.create_map(*(F.lit(x) for kv in per.items() for x in kv))[s]
-            bad = bad | F.coalesce(_level(rule) >= level, F.lit(False))
-    return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~bad)
+    paths, own, rest = cutoffs
+    s = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
+    last = F.coalesce(F.create_map(*(F.lit(x) for kv in own.items() for x in kv))[s], F.lit(rest)) if own else F.lit(rest)
+    return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (_step(paths) > last))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text", risk: float = 0.02, delta: float = 0.05) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns.
 
     Cutoffs are fitted as in :func:`quality_rules`; the rows are then judged
-    where they are read, so that nothing is joined by id.
+    where they are read, so that nothing is joined by id.  Nulls, repeated rows
+    and empty tables count as there.
     """
     from ._store import Workspace
 
     store = Workspace(docs.sparkSession, "quality")
-    cutoffs = fit(store.save(statistics(docs, text, ("doc_id", stratum))), labels, stratum, risk, delta)
+    stats = store.save(statistics(docs, text, ("doc_id", stratum)))
+    paths, own, rest = fit(stats, labels, stratum, risk, delta)
+    store.drop(stats)
+    tables = {r: np.array(p) for r, p in paths.items()}
     place, by = docs.columns.index(text), docs.columns.index(stratum)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            strata = np.array([x or "" for x in batch.column(by).to_pylist()], object)
+            last = np.array([own.get("" if x is None else str(x), rest) for x in batch.column(by).to_pylist()], np.int64)
             for i, j, data, offsets in X.chunks(*X.buffers(batch.column(place))):
                 s = _stats(data, offsets)
                 bad = (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
-                for (stratum_value, rule), level in cutoffs.items():
-                    num, den = (s[c] for c in RULES[rule])
-                    reached = np.where(den > 0, np.minimum(int(STEPS * TOP), num * STEPS // np.maximum(den, 1)), 0)
-                    bad |= (strata[i:j] == stratum_value) & (reached >= level)
+                for rule, (num, den) in RULES.items():
+                    level = np.where(s[den] > 0, np.minimum(LEVELS - 1, s[num] * STEPS // np.maximum(s[den], 1)), 0)
+                    bad |= tables[rule][level] <= last[i:j]
                 yield batch.slice(i, j - i).filter(pa.array(~bad))
 
     return docs.mapInArrow(run, docs.schema)

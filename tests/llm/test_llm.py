@@ -272,8 +272,26 @@ def test_quality_cutoffs_keep_the_risk(spark):
     judged = quality.judge(stats, cut, "lang").join(spark.createDataFrame(labels, "doc_id long, quality int"), "doc_id").collect()
     assert all(not r.kept for r in judged if r.quality == 0)
     assert sum(not r.kept for r in judged if r.quality == 1) <= 0.02 * 4500
-    few = quality.fit(stats.limit(50), spark.createDataFrame(labels, "doc_id long, quality int"), "lang")
-    assert few == {}
+    _, own, rest = quality.fit(stats.limit(50), spark.createDataFrame(labels, "doc_id long, quality int"), "lang")
+    assert own == {} and rest == -1
+
+
+def test_small_strata_are_judged_together(spark):
+    """Strata without enough labels of their own share one cutoff; the large one has its own."""
+    rows, labels = [], []
+    for i in range(4000):
+        lang = "big" if i % 2 else f"s{i % 40}"
+        good = i % 5 > 0
+        rows.append((i, lang, 100, 400, 5 if good else 90, 0, 0, 10, 0, 0))
+        labels.append((i, int(good)))
+    stats = spark.createDataFrame(rows, "doc_id long, lang string, " + ", ".join(f"{s} long" for s in quality.STATS))
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    cut = quality.fit(stats, known, "lang")
+    assert set(cut[1]) == {"big"} and cut[1]["big"] >= 0 and cut[2] >= 0
+    kept = {r.doc_id for r in quality.judge(stats, cut, "lang").where("kept").collect()}
+    assert kept == {i for i, q in labels if q}
+    none = quality.fit(stats.limit(0), known.limit(0), "lang")
+    assert none[1] == {} and none[2] == -1
 
 
 def test_filter_agrees_with_verdicts(spark, sf):
