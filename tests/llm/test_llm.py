@@ -413,11 +413,34 @@ def test_decontamination_tolerates_substitutions(spark):
     assert sorted(r.doc_id for r in decontaminate.decontaminate(make(spark, docs), bench).collect()) == [3, 4, 5, *range(6, 26)]
 
 
-def test_decontamination_by_shuffle_is_the_same(spark, sf, monkeypatch):
+@pytest.mark.parametrize("hashes", [4_000_000, 3000])
+def test_decontamination_by_shuffle_is_the_same(spark, sf, monkeypatch, hashes):
+    """With more seeds than are broadcast whole, in one or several blocks of hashes, and no token array in a shuffle."""
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     one = rows_of(decontaminate.contaminated(docs, bench))
     monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
-    assert rows_of(decontaminate.contaminated(docs, bench)) == one
+    monkeypatch.setattr(decontaminate, "BROADCAST_HASHES", hashes)
+    other = decontaminate.contaminated(docs, bench)
+    assert rows_of(other) == one
+
+
+@pytest.mark.parametrize("length, rate, least", [(40, 0.3, 0.9), (40, 0.2, 0.95), (15, 0.14, 0.9), (20, 0.2, 0.9)])
+def test_decontamination_recall(spark, length, rate, least):
+    """Against brute force over all alignments: the share of passages within the rule that are found."""
+    rng = random.Random(length)
+    items = [[f"w{rng.randrange(5000)}" for _ in range(length)] for _ in range(150)]
+    docs, truth = [], set()
+    need = min(decontaminate.NEED, -(-length * 4 // 5))
+    for i, item in enumerate(items):
+        copy = [w if rng.random() >= rate else f"x{rng.randrange(10**6)}" for w in item]
+        same = [a == b for a, b in zip(item, copy)]
+        if any(sum(same[max(0, at - 6) : at + 18]) >= need for at in range(length - 11)):
+            truth.add(i)
+        docs.append((i, " ".join(["left"] * 5 + copy + ["right"] * 5)))
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert all(a == b and a in truth for a, b in got)
+    assert len(got) >= least * len(truth)
 
 
 def test_mixing_fills_quotas(spark):
