@@ -6,11 +6,14 @@ content) feeds a renderer with rules of visibility and of block spacing:
 
 * nothing inside head, script, style, template, noscript, definitions of svg or
   math, or an element with the attribute ``hidden`` or a style of
-  ``display:none`` or ``visibility:hidden`` is shown;
+  ``display:none`` is shown; text below ``visibility:hidden`` is not shown
+  unless a nearer element is ``visibility:visible``;
 * white space is collapsed except in ``pre`` and ``textarea``; blocks start on
   a new line, paragraphs and headings with an empty line between;
 * list items are indented by depth with ``-`` or their number; table cells of
-  one table are padded to the widest of their column and joined by two spaces.
+  one table are padded to the widest of their column and joined by two spaces;
+  a cell over several columns or rows takes its place in the grid and stands in
+  the first of them, and columns in which no cell begins take no room.
 """
 
 from __future__ import annotations
@@ -18,7 +21,9 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +33,8 @@ from ._store import Workspace
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?)?)*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
-_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)", re.I)
+_HIDING = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!important\s*)?(?:;|$)", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)\s*(?:!important\s*)?(?=;|$)", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("head script style template noscript iframe object canvas audio video datalist title".split())
 #: Not shown inside svg or math.
@@ -129,52 +135,107 @@ class _Flow:
         return self.lines
 
 
+class _Cell:
+    def __init__(self, attrs: str):
+        self.lines: list[str] = []
+        self.across = _span(attrs, "colspan", 1000) or 1
+        self.down = _span(attrs, "rowspan", 65534)  # 0: to the end of the table
+
+
 class _Table:
-    def __init__(self, outer: _Flow, depth: int):
-        self.outer, self.depth = outer, depth
-        self.rows: list[list[list[str]]] = []
+    def __init__(self, outer: _Flow):
+        self.outer = outer
+        self.rows: list[list[_Cell]] = []
         self.captions: list[str] = []
 
-    def lines(self) -> list[str]:
-        widths: list[int] = []
+    def _grid(self) -> list[list[tuple[int, _Cell]]]:
+        """The cells of each row with the columns where they begin."""
+        grid = []
+        busy: list[list[int]] = []  # [first column, column after, rows left] of cells from above, in order
         for row in self.rows:
-            for i, cell in enumerate(row):
-                w = max((_width(x) for x in cell), default=0)
-                if i < len(widths):
-                    widths[i] = max(widths[i], w)
+            own, at, k, new = [], 0, 0, []
+            for cell in row:
+                while k < len(busy) and busy[k][0] < at + 1:
+                    at = max(at, busy[k][1])
+                    k += 1
+                own.append((at, cell))
+                if cell.down != 1:
+                    new.append([at, at + cell.across, cell.down or 1 << 30])
+                at += cell.across
+            grid.append(own)
+            busy = sorted([a, b, n - 1] for a, b, n in busy + new if n > 1)
+        return grid
+
+    def lines(self) -> list[str]:
+        grid = self._grid()
+        used = sorted({at for row in grid for at, _ in row})
+        place = {at: i for i, at in enumerate(used)}
+        widths = [0] * len(used)
+        wide = []
+        for row in grid:
+            for at, cell in row:
+                w = max((_width(x) for x in cell.lines), default=0)
+                last = bisect_left(used, at + cell.across) - 1
+                if last == place[at]:
+                    widths[last] = max(widths[last], w)
                 else:
-                    widths.append(w)
+                    wide.append((last - place[at], place[at], last, w))
+        # Cells over several columns widen the last of them if need be, narrow ones first.
+        for _, first, last, w in sorted(wide):
+            have = sum(widths[first : last + 1]) + 2 * (last - first)
+            widths[last] += max(0, w - have)
+        begin = [0, *accumulate(w + 2 for w in widths)]
         out = list(self.captions)
-        for row in self.rows:
-            for k in range(max((len(c) for c in row), default=0)):
-                parts = [(c[k] if k < len(c) else "") for c in row]
-                out.append("  ".join(p + " " * (widths[i] - _width(p)) for i, p in enumerate(parts)).rstrip(" "))
+        for row in grid:
+            for k in range(max((len(c.lines) for _, c in row), default=0)):
+                parts, length = [], 0
+                for at, cell in row:
+                    if k < len(cell.lines) and cell.lines[k]:
+                        pad = begin[place[at]] - length
+                        parts.append(" " * pad + cell.lines[k])
+                        length += pad + _width(cell.lines[k])
+                out.append("".join(parts).rstrip(" "))
         return out
 
 
-def _hidden(attrs: str) -> bool:
+def _span(attrs: str, name: str, most: int) -> int:
+    m = re.search(rf"(?i)(?<![^\s/\"']){name}\s*=\s*[\"']?\s*(\d+)", attrs) if name in attrs.lower() else None
+    return min(most, int(m[1][:9])) if m else 1
+
+
+def _shown(attrs: str) -> tuple[bool, bool | None]:
+    """Whether an element is hidden with all below it, and whether its text is visible (None: as that around it)."""
+    hidden, visible = False, None
     if not attrs or "hidden" not in attrs.lower() and "style" not in attrs.lower():
-        return False
+        return hidden, visible
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
         if name == "hidden" and value.lower() != "until-found" or name == "style" and _HIDING.search(value):
-            return True
-    return False
+            hidden = True
+        if name == "style" and (v := _VISIBILITY.findall(value)):
+            visible = v[-1].lower() == "visible"
+    return hidden, visible
 
 
 def render(source: str) -> str:
-    """The visible text of a page; blocks on lines of their own.  Time is linear in the page."""
+    """The visible text of a page; blocks on lines of their own.
+
+    Time is linear in the page, but for lines of nested tables, which each
+    table around them pads again, and rows that cells of many rows above reach
+    into.
+    """
     flow = _Flow()
-    stack: list[list] = []  # [tag, hides, what to restore]
+    stack: list[list] = []  # [tag, hides, what to restore, whether text was visible before]
     tables: list[_Table] = []
-    count: dict[str, int] = {}  # open elements by tag
+    count: dict[str, list[int]] = {}  # places in the stack of the open elements of each tag
     hiding = pre = 0
+    visible = True
     lists: list[list] = []
 
     def leave() -> None:
-        nonlocal flow, hiding, pre
-        tag, hides, old = stack.pop()
-        count[tag] -= 1
+        nonlocal flow, hiding, pre, visible
+        tag, hides, old, visible = stack.pop()
+        count[tag].pop()
         hiding -= hides
         if tag in ("pre", "textarea", "xmp"):
             pre -= 1
@@ -182,9 +243,8 @@ def render(source: str) -> str:
             kind, value = old
             if kind == "cell":
                 lines = flow.done()
-                flow, table = value
-                if table.rows:
-                    table.rows[-1].append(lines)
+                flow, cell = value
+                cell.lines = lines
             elif kind == "caption":
                 table = tables[-1]
                 table.captions += flow.done()
@@ -204,34 +264,33 @@ def render(source: str) -> str:
             flow.block(2 if tag in PARAGRAPH else 1)
 
     def close(tags: set[str], bounds: set[str]) -> None:
-        if not any(count.get(t) for t in tags):
-            return
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in tags:
-                while len(stack) > i:
-                    leave()
-                return
-            if stack[i][0] in bounds or stack[i][0] in ("td", "th", "caption", "table") and "p" in tags:
-                return
+        at = max((count[t][-1] for t in tags if count.get(t)), default=-1)
+        if at >= 0 and at >= max((count[t][-1] for t in bounds if count.get(t)), default=-1):
+            while len(stack) > at:
+                leave()
 
     def enter(tag: str, attrs: str) -> None:
-        nonlocal flow, hiding, pre
+        nonlocal flow, hiding, pre, visible
         foreign = count.get("svg") or count.get("math")
-        hides = int(tag in SILENT or bool(foreign) and tag in FOREIGN_SILENT or _hidden(attrs))
+        hidden, seen = _shown(attrs)
+        hides = int(tag in SILENT or bool(foreign) and tag in FOREIGN_SILENT or hidden)
         hiding += hides
-        old = None
+        old, before = None, visible
+        visible = visible if seen is None else seen
         if tag in ("pre", "textarea", "xmp"):
             pre += 1
         if not hiding:
             if tag == "table":
-                tables.append(_Table(flow, len(stack)))
+                tables.append(_Table(flow))
                 old = ("table", None)
             elif tag == "tr" and tables:
                 tables[-1].rows.append([])
             elif tag in ("td", "th") and tables:
                 if not tables[-1].rows:
                     tables[-1].rows.append([])
-                old = ("cell", (flow, tables[-1]))
+                cell = _Cell(attrs)
+                tables[-1].rows[-1].append(cell)
+                old = ("cell", (flow, cell))
                 flow = _Flow()
             elif tag == "caption" and tables:
                 old = ("caption", flow)
@@ -254,14 +313,14 @@ def render(source: str) -> str:
                 flow.indent += 2
             elif tag in BLOCK or tag == "text" and foreign:
                 flow.block(2 if tag in PARAGRAPH else 1)
-        stack.append([tag, hides, old])
-        count[tag] = count.get(tag, 0) + 1
+        count.setdefault(tag, []).append(len(stack))
+        stack.append([tag, hides, old, before])
 
     at, n = 0, len(source)
     while at < n:
         m = _TOKEN.search(source, at)
         end = m.start() if m else n
-        if end > at and not hiding:
+        if end > at and not hiding and visible:
             s = html.unescape(source[at:end])
             # Text straight inside a table's rows is shown before the table.
             if s.strip() or not (tables and stack and stack[-1][0] in ("table", "tr", "tbody", "thead", "tfoot")):
@@ -283,7 +342,7 @@ def render(source: str) -> str:
                 # A cell's or table's end tag is not ended by tags outside of it.
                 bounds = {"table"} if tag not in ("table",) else set()
                 inline = tag not in BLOCK and tag not in ("td", "th", "caption")
-                close({tag}, bounds | ({"td", "th", "caption"} if inline or tag in ("p", "div", "li") else set()) - {tag})
+                close({tag}, (bounds | ({"td", "th", "caption"} if inline or tag in ("p", "div", "li") else set())) - {tag})
             continue
         if tag in _CLOSES_P:
             close({"p"}, {"table", "td", "th", "caption", "button"})
@@ -292,7 +351,7 @@ def render(source: str) -> str:
         elif count.get("head") and tag not in SILENT and tag not in ("meta", "link", "base", "html", "head"):
             close({"head"}, set())
         if tag in VOID:
-            if not hiding and not _hidden(m[3]):
+            if not hiding and not _shown(m[3])[0]:
                 if tag == "br":
                     flow.br()
                 elif tag == "hr":
@@ -301,7 +360,8 @@ def render(source: str) -> str:
         if tag in RAW:
             stop = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(source, at)
             body = source[at : stop.start() if stop else n]
-            if tag not in SILENT and not hiding and not _hidden(m[3]):
+            hidden, seen = _shown(m[3])
+            if tag not in SILENT and not hiding and not hidden and (visible if seen is None else seen):
                 flow.text(html.unescape(body) if tag == "textarea" else body, True)
             if not stop:
                 break

@@ -614,3 +614,62 @@ def test_secret_assignments_and_long_runs(spark):
 ])
 def test_html_loses_no_visible_text(source, text):
     assert render(source) == text
+
+
+@pytest.mark.parametrize("source, text", [
+    ("<table>hello<tr><td>x</table>", "hello\n\nx"), ("<p class=it's>visible text</p><p>more</p>", "visible text\n\nmore"), ('<a href=foo"bar>x</a> y', "x y"),
+    ("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>z", "yes\nz"), ("<p style='display:none;visibility:visible'>no</p>a", "a"),
+    ("<table><tr><td colspan=2>wide<td>c<tr><td>a<td>b<td>c</table>", "wide  c\na  b  c"), ("<table><tr><td rowspan=2>r<td>b<tr><td>c<tr><td>d</table>", "r  b\n   c\nd"),
+    ("<table><tr><td>a<td>b<tr><td colspan='2'>much wider<tr><td colspan=2>w<td>z</table>", "a  b\nmuch wider\nw           z"), ("<table><tr><td rowspan=0>r<td>b<tr><td>c<tr><td>d</table>", "r  b\n   c\n   d"),
+])
+def test_html_visibility_and_spans(source, text):
+    assert render(source) == text
+
+
+def test_html_tables_against_a_grid():
+    """Cells of random tables against the slots that a plain grid of columns and rows gives them."""
+    rng = random.Random(21)
+    for _ in range(200):
+        taken, page, begins, n = set(), [], {}, 0
+        for y in range(rng.randint(1, 5)):
+            page.append("<tr>")
+            x = 0
+            for _ in range(rng.randint(1, 5)):
+                while (x, y) in taken:
+                    x += 1
+                across, down, word = rng.choice([1, 1, 1, 2, 3]), rng.choice([1, 1, 1, 2]), f"t{n}" + "x" * rng.randint(0, 6)
+                n += 1
+                taken |= {(x + i, y + j) for i in range(across) for j in range(down)}
+                begins[word] = (x, y, across)
+                page.append(f"<td colspan={across} rowspan={down}>{word}")
+                x += across
+        lines = render("<table>" + "".join(page) + "</table>").split("\n")
+        at = {w: lines[y].split(" ").index(w) and lines[y].index(w) for w, (_, y, _) in begins.items()}
+        for w, (x, y, across) in begins.items():
+            assert re.search(rf"(?<!\S){w}(?!\S)", lines[y])
+            for v, (u, z, _) in begins.items():
+                if u == x:
+                    assert at[w] == at[v]
+                if z == y and u >= x + across:
+                    assert at[v] >= at[w] + len(w) + 2
+
+
+def test_html_time_is_linear():
+    import time
+
+    def seconds(n):
+        page = ["<b><table><tr><td>" + "<span>" * n + "</b>" * n, "<ul>" + "<table><tr><td>x</ul>" + "</ul>" * n, "<p><button>" + "<div>" * n + "</p>" * n, "<table><tr>" + "<td colspan=1000>x" * n]
+        began = time.process_time()
+        for x in page:
+            render(x)
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(40_000) < 8 * seconds(10_000) + 0.5
+
+
+def test_html_rows(spark):
+    df = spark.createDataFrame([(1, "<p>a"), (1, "<p>a"), (2, None), (3, ""), (None, "<b>" * 50_000 + "deep")], "page_id long, html string")
+    got = sorted(((r.page_id, r.text) for r in extract(df).collect()), key=str)
+    assert got == sorted([(1, "a"), (1, "a"), (2, None), (3, ""), (None, "deep")], key=str)
+    assert extract(df.limit(0)).count() == 0
