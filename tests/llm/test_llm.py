@@ -370,13 +370,30 @@ def test_pii(spark, tables):
 
 def test_pii_trees_learn_and_abstain():
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(3000, 3))
+    x = rng.normal(size=(12000, 3))
     y = ((x[:, 0] > 0) & (x[:, 1] > 0)).astype(float)
-    trees, least = pii.fit(x, y)
-    picked = sum(pii._predict(t, x) for t in trees) >= least
-    assert picked.any() and y[picked].mean() > 0.97
-    assert pii.fit(x, rng.integers(0, 2, 3000).astype(float))[1] == float("inf")
-    assert pii.fit(np.zeros((0, 3)), np.zeros(0))[1] == float("inf")
+    kind = np.arange(12000) % 2
+    y[kind == 1], x[kind == 1, 0] = rng.integers(0, 2, 6000), -9
+    trees, least = pii.fit(x, y, kind)
+    assert set(least) == {0}  # the other kind has no margin that is precise enough
+    picked = (kind == 0) & (sum(pii._predict(t, x) for t in trees) >= least[0])
+    assert picked.any() and y[picked].mean() > 0.94
+    assert pii.fit(x, rng.integers(0, 2, 12000).astype(float), kind)[1] == {}
+    assert pii.fit(np.zeros((0, 3)), np.zeros(0), np.zeros(0))[1] == {}
+
+
+def test_pii_of_many_matches_takes_linear_time(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, " ".join(f"user{i}@host{i}.org +1 212 555 {i:04d}" for i in range(n)))], "doc_id long, text string")
+        began = time.time()
+        got = pii.redact_query(df).first()
+        assert (got.n_email, got.n_phone) == (n, n)
+        return time.time() - began
+
+    seconds(100)
+    assert seconds(8_000) < 5 * seconds(2_000) + 5
 
 
 def test_secrets(spark, tables):
