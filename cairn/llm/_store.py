@@ -2,13 +2,16 @@
 
 An operator that reads a result twice, or that must cut its lineage, writes it
 as Parquet below ``spark.checkpoint.dir``.  Only where that setting is absent
-(a local session, as in tests) is a folder of this machine used.
+and the session is local, as in tests, is a folder of this machine used; on a
+cluster its absence is an error.  The tables stay, since a result may still be
+computed from them, until :func:`clear` deletes them.
 """
 
 from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -22,9 +25,11 @@ BATCH_ROWS, BATCH_BYTES = 20_000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder as a URI; set to a temporary one if the session has none."""
+    """The shared folder as a URI; a local session without one gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[(\d+|\*)(,.*)?\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="cairn-shared-")
         atexit.register(shutil.rmtree, folder[7:], True)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -48,13 +53,29 @@ def ship(spark: SparkSession) -> None:
 _shipped: dict[str, str] = {}
 
 
+_made: list[str] = []
+
+
+def clear(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Delete the folders of all workspaces but ``keep``, once nothing reads from them any more."""
+    for path in [p for p in _made if p not in keep]:
+        remove(spark, path)
+        _made.remove(path)
+
+
 class Workspace:
-    """A folder for one call of an operator."""
+    """A folder for one call of an operator.
+
+    Sets three options of the session: the bounds of Arrow batches, which all
+    operators on whole texts need for bounded memory, and the removal of shuffle
+    files of finished writes.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.tables = 0
+        _made.append(self.path)
         ship(spark)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -4,8 +4,10 @@ The base spans follow three fixed patterns.  The method proposes further
 candidates: values of secret-like assignments, keys with well-known prefixes
 and long mixed tokens.  Every candidate's value is hashed, and the hash is
 counted over the whole corpus by distinct repositories and owners.  A value
-that several owners have is a copied example; one that a single owner has and
-that looks random is taken for a live credential, and its span is added.
+that several owners have is a copied example, unless OWN_SHARE of the
+repositories that hold it are one owner's (others may have copied from it); one
+that is an owner's in this sense and that looks random is taken for a live
+credential, and its span is added.
 """
 
 from __future__ import annotations
@@ -45,6 +47,10 @@ KINDS = [*BASE, *LOOSE, "named"]
 _ANY = f"(?:{_WORD})[\"']?\\x20*[:=]|AKIA[A-Z0-9]{{12}}|[0-9a-f]{{32}}|[A-Za-z0-9+/_-]{{24}}|gh[pousr]_|xox[abprs]-|sk-|eyJ|AIza|(?i:{_NAMED})[A-Za-z0-9_.-]*[\"']?\x20*[:=]"
 #: Fewest bits per character of a live-looking value.
 ENTROPY = 3.5
+#: Share of the repositories of a value from which it counts as its main owner's.
+OWN_SHARE = 0.9
+#: Values that are sent to all executors; beyond that the join shuffles, with each value in SALTS parts.
+BROADCAST_VALUES, SALTS = 500_000, 16
 _SPANS = "array<struct<kind:string,start:bigint,end:bigint,value:string,live:boolean>>"
 _TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("live", pa.bool_())]))
 
@@ -97,18 +103,18 @@ def candidates(docs: DataFrame, text: str, keep: dict[str, F.Column]) -> DataFra
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(value, n_repos, n_owners) of every candidate's hash.
+    """(value, n_repos, n_owners, top_repos) of every candidate's hash; top_repos are the repositories of its main owner.
 
     Distinct triples come first, so a value in a third of all rows shrinks to
     its repositories before anything is shuffled by value alone.
     """
     each = found.select("repo", "owner", F.explode(F.concat("base", "loose")).alias("x")).select(F.col("x.value").alias("value"), "repo", "owner").distinct()
     by_repo = each.groupBy("value", "owner").agg(F.count("*").alias("repos"))
-    return by_repo.groupBy("value").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"))
+    return by_repo.groupBy("value").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"), F.max("repos").alias("top_repos"))
 
 
 def find_secrets(docs: DataFrame, text: str = "text", repo: F.Column | None = None, owner: F.Column | None = None, max_owners: int = 1) -> DataFrame:
-    """doc_id, base spans and added spans (candidates of at most ``max_owners`` owners that look live) of each row.
+    """doc_id, base spans and added spans (candidates of at most ``max_owners`` owners, or mainly of one, that look live) of each row.
 
     By default a document's repository is its source and language, its owner the
     source.  Null and empty texts have no spans; a null repository or owner is
@@ -121,9 +127,15 @@ def find_secrets(docs: DataFrame, text: str = "text", repo: F.Column | None = No
     store = Workspace(docs.sparkSession, "secrets")
     keep = {"doc_id": F.col("doc_id"), "repo": F.coalesce(repo.cast("string"), text_none), "owner": F.coalesce(owner.cast("string"), text_none)}
     found = store.save(candidates(docs, text, keep).withColumn("row", F.monotonically_increasing_id()), "found")
-    own = ownership(found).where(F.col("n_owners") <= max_owners).select("value")
+    whose = ownership(found).where((F.col("n_owners") <= max_owners) | (F.col("top_repos") >= OWN_SHARE * F.col("n_repos")))
+    own = store.save(whose.select(F.col("value").alias("own")), "own")
     loose = found.where(F.size("loose") > 0).select("row", F.explode("loose").alias("x")).where("x.live")
-    added = loose.join(own, F.col("x.value") == own["value"], "left_semi").groupBy("row").agg(F.collect_list("x").alias("added"))
+    if own.count() <= BROADCAST_VALUES:
+        live = loose.join(F.broadcast(own), F.col("x.value") == F.col("own"), "left_semi")
+    else:
+        own = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        live = loose.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(own, (F.col("x.value") == F.col("own")) & (F.col("salt") == F.col("part")), "left_semi")
+    added = live.groupBy("row").agg(F.collect_list("x").alias("added"))
     return found.select("row", "doc_id", "base").join(added, "row", "left").select("doc_id", "base", F.coalesce("added", F.array().cast(_SPANS)).alias("added"))
 
 

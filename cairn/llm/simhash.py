@@ -31,8 +31,8 @@ from . import _text as X
 from ._store import Workspace
 
 RADIUS = 3
-#: Fingerprints that the upper trees are built on, and their most leaves.
-SAMPLE, MAX_SHARDS = 65_536, 4096
+#: Fingerprints that the upper trees are built on, 16 a leaf and as many at least and at most, and their most leaves.
+SAMPLE, MOST_SAMPLE, MAX_SHARDS = 65_536, 1 << 20, 1 << 16
 #: Aim for the size of a shard, and the size from which it is cut into blocks.
 SHARD, HOT = 2048, 32_768
 #: Leaves within a shard.
@@ -240,8 +240,9 @@ def links(fps: DataFrame, store: Workspace) -> DataFrame:
     spark = fps.sparkSession
     distinct = store.save(fps.select("fp").distinct(), "distinct")
     n = distinct.count()
-    sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
     shards = int(min(MAX_SHARDS, max(1, n // SHARD)))
+    taken = distinct.orderBy(F.xxhash64("fp"), "fp").limit(min(MOST_SAMPLE, max(SAMPLE, 16 * shards))).toArrow()
+    sample = taken.column("fp").to_numpy().view(np.uint64)
     trees = spark.sparkContext.broadcast([VPTree(_half(sample, t), max(8, len(sample) // max(1, shards) // 2), shards) for t in (0, 1)])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,11 +260,11 @@ def links(fps: DataFrame, store: Workspace) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), leaf * 2 + t)), pa.array(fp[at].view(np.int64)), pa.array(home)], names=["shard", "fp", "home"])
 
     routed = distinct.mapInArrow(route, "shard bigint, fp bigint, home boolean")
-    # Shards beyond HOT rows are cut into blocks; every pair of blocks is a cell of its own.
-    sizes = {r["shard"]: r["n"] for r in routed.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > HOT).collect()} if n > HOT else {}
-    if sizes:
-        m = F.coalesce(F.create_map(*(F.lit(x) for k, v in sizes.items() for x in (k, -(-v // HOT))))[F.col("shard")], F.lit(1))
-        routed = routed.withColumn("m", m).withColumn("b", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
+    # Shards beyond HOT rows are cut into blocks; every pair of blocks is a cell of its own.  There are at most 2 * MAX_SHARDS.
+    sizes = routed.groupBy("shard").agg(F.ceil(F.count("*") / HOT).cast("int").alias("m")).where("m > 1")
+    if n > HOT and (sizes := store.save(sizes, "hot")).head(1):
+        routed = routed.join(F.broadcast(sizes), "shard", "left").withColumn("m", F.coalesce("m", F.lit(1)))
+        routed = routed.withColumn("b", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
         cell = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda x: F.least(x, F.col("b")) * F.col("m") + F.greatest(x, F.col("b")))
         routed = routed.select("shard", F.explode(cell).alias("cell"), "fp", "home")
     else:

@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyarrow import parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _text as X
@@ -38,7 +38,7 @@ from ._store import Workspace
 MAGIC = b"CAIRNTK1"
 END = 2
 #: Text of one file, and texts encoded at a time.
-FILE_BYTES, PIECE_BYTES = 24 << 20, 6 << 20
+FILE_BYTES, MOST_BYTES, FILES, PIECE_BYTES = 24 << 20, 256 << 20, 100_000, 6 << 20
 
 # --- the coding -------------------------------------------------------------
 
@@ -259,7 +259,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, text: str = "text
     store = Workspace(spark, "tokens")
     rows = docs.select("doc_id", F.col(text).alias("text"))
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
-    n_files = max(1, round(total / FILE_BYTES))
+    n_files = max(1, round(total / min(MOST_BYTES, max(FILE_BYTES, total // FILES))))
     raw = f"{store.path}/raw"
     _open(raw)[0].create_dir(_open(raw)[1], recursive=True)
     _open(folder)[0].create_dir(_open(folder)[1], recursive=True)
@@ -326,12 +326,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, text: str = "text
     parts = counts.where("id = -1").select("part").distinct()
     files = store.save(parts.repartition(max(1, n_files), "part").mapInArrow(write, "file string, part bigint, n_docs bigint, n_ids bigint"), "files")
     _open(raw)[0].delete_dir(_open(raw)[1])
-    # As many rows as files: their starts fit the driver.
-    start, out = 0, []
-    for r in files.orderBy("part").collect():
-        out.append((r["file"], r["n_docs"], r["n_ids"], start))
-        start += r["n_ids"]
-    return spark.createDataFrame(out, "file string, n_docs bigint, n_ids bigint, first_id bigint")
+    # Starts by two sums: over groups of files, and over the files of a group.
+    grouped = files.withColumn("group", F.floor(F.col("part") / 1000))
+    sums = grouped.groupBy("group").agg(F.sum("n_ids").alias("ids"))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("group", before("ids", Window.orderBy("group")).alias("start"))
+    placed = grouped.withColumn("inside", before("n_ids", Window.partitionBy("group").orderBy("part"))).join(F.broadcast(sums), "group")
+    return placed.select("file", "n_docs", "n_ids", (F.col("start") + F.col("inside")).alias("first_id"))
 
 
 def read_file(uri: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

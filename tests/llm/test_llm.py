@@ -690,3 +690,51 @@ def test_html_rows(spark):
     got = sorted(((r.page_id, r.text) for r in extract(df).collect()), key=str)
     assert got == sorted([(1, "a"), (1, "a"), (2, None), (3, ""), (None, "deep")], key=str)
     assert extract(df.limit(0)).count() == 0
+
+
+def test_secret_of_one_owner_that_others_copied(spark):
+    """A value in many repositories of one owner and one of another is still its owner's; an even split is not."""
+    value, even = "ghp_aB3dE5fG7hI9jK1lM3nO5pQ7rS9", "ghp_zY8xW6vU4tS2rQ0pO8nM6lK4jI2"
+    rows = [(i, value, "a", f"l{i}") for i in range(12)] + [(20, value, "b", "en"), (21, even, "a", "en"), (22, even, "b", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: bool(r.added) for r in secrets.find_secrets(df).collect()}
+    assert all(got[i] for i in (*range(12), 20)) and not got[21] and not got[22]
+
+
+def test_secrets_by_shuffle_are_the_same(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    one = rows_of(secrets.secrets_query(docs))
+    monkeypatch.setattr(secrets, "BROADCAST_VALUES", -1)
+    assert rows_of(secrets.secrets_query(docs)) == one
+
+
+NASTY = "doc_id long, text string, lang string, source string, t string, at long, h long, fp long, row long, g long, copies long, `__text` string"
+
+
+@pytest.fixture(scope="session")
+def nasty(spark):
+    """Null ids, null everything, repeated rows, a very long text, and columns named as the operators name theirs."""
+    long_text = " ".join(f"word{i % 5000} mail{i}@example.org" if i % 1000 == 0 else f"word{i * 7919 % 50021}" for i in range(300_000))
+    rows = [(None, None, None, None), (1, long_text, "en", "a"), (1, long_text, "en", "a"), (2, "", "en", None), (2, "short text", None, "a"), (None, "password=abcdefgh1", "en", "b"), (3, "x" * 200_000, "de", "b"), (4, "same words " * 20_000, "en", "a")]
+    return spark.createDataFrame([(*r, "t", 1, 2, 3, 4, 5, 6, "u") for r in rows], NASTY).repartition(3)
+
+
+@pytest.mark.parametrize("name", ["simhash", "suffix", "tokens", "secrets", "leaks", "mixing", "pii", "quality", "substring", "keep_good", "keep_one", "mixed", "clean"])
+def test_nulls_long_texts_and_clashing_names(spark, nasty, name, tmp_path):
+    labels = spark.createDataFrame([(None, 1), (1, None), (1, 1)], "doc_id long, quality int")
+    bench = spark.createDataFrame([(None, "same words same words same words same words same words same words same words"), (1, None), (2, "")], "item_id long, text string")
+    run = {
+        "simhash": simhash.simhash_groups, "suffix": suffix_dedup.removed, "substring": substring_dedup.removed, "secrets": secrets.secrets_query, "pii": pii.redact_query,
+        "tokens": lambda d: tokenize.token_output(d, P.path("byte_bpe_50k.json"), f"file://{tmp_path}/{d.count()}"), "mixing": lambda d: mixing.mix_sources(d, None, 2.0), "quality": lambda d: quality.quality_rules(d, labels),
+        "leaks": lambda d: decontaminate.contaminated(d, bench), "keep_good": lambda d: quality.keep_good(d, labels), "keep_one": simhash.keep_one, "mixed": lambda d: mixing.mixed_documents(d), "clean": lambda d: decontaminate.decontaminate(d, bench),
+    }[name]
+    rows = run(nasty).collect()
+    n = {"leaks": 1, "keep_good": None, "keep_one": None, "mixed": None, "mixing": None, "clean": 7}.get(name, 8)
+    assert n is None or len(rows) == n
+    if name in ("keep_good", "keep_one", "mixed", "clean"):
+        assert run(nasty).columns == nasty.columns
+    if name == "keep_one":
+        assert sum(r.doc_id is None for r in rows) == 2 and sum(r.doc_id == 1 for r in rows) == 1
+    if name in ("mixed", "mixing"):
+        assert len(rows) >= 8
+    assert run(nasty.limit(0)).count() == 0
