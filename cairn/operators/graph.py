@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the session's shared folder; a temporary one only if none is set."""
+    """Checkpoint in the session's shared folder; a local session without one gets a temporary one."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="cairn-checkpoint-")
             atexit.register(shutil.rmtree, folder, True)
         sc.setCheckpointDir(folder)
