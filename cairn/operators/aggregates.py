@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schemas import CONFIDENCE, SEVERITY, rank, value
+from .graph import cut
 
 
 def counts_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -72,18 +73,32 @@ def set_signature(column: str) -> Column:
     return F.sha2(F.array_join(F.array_sort(F.collect_set(F.col(column).cast("string"))), ","), 256)
 
 
-def capped_list(column: str, most: int = 8) -> tuple[Column, Column]:
-    """The first ``most`` distinct values of a group, and how many more there are."""
-    values = F.array_sort(F.collect_set(column))
-    return F.array_join(F.slice(values, 1, most), ","), F.greatest(F.size(values) - most, F.lit(0)).cast("bigint")
+def first_values(df: DataFrame, key: str, column: str, most: int, name: str) -> DataFrame:
+    """``key``, the first ``most`` distinct values in order (joined), and how many more there are.
 
+    Ranks are limited before the shuffle, so no task gets all values of a key.
+    """
+    values = df.select(key, column).distinct()
+    rn = F.row_number().over(Window.partitionBy(key).orderBy(column))
+    first = values.withColumn("rn", rn).where(F.col("rn") <= most).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", column))), lambda x: x[column].cast("string")), ",").alias(name))
+    return first.join(values.groupBy(key).agg(F.greatest(F.count("*") - most, F.lit(0)).cast("bigint").alias("more")), key)
 
-def packets(files: DataFrame, batch: int) -> DataFrame:
-    """packet_no, files and token estimate of batches in path order.
 
-    Ranks come from one total order; the input is a selection to be reviewed.
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with its place (from 1) in a total order: ranges of the order are numbered each by itself and set off by their sizes.
+
+    The ranges are checkpointed, since their bounds come from a sample.
     """
-    rn = F.row_number().over(Window.orderBy("path"))
+    ranges = cut(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = ranges.groupBy("__range").agg(F.count("*").alias("n"))
+    start = sizes.select("__range", F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranges.withColumn("__rn", inside).join(F.broadcast(start), "__range").withColumn(name, (F.col("__start") + F.col("__rn")).cast("bigint")).drop("__range", "__rn", "__start")
+
+
+def packets(files: DataFrame, batch: int) -> DataFrame:
+    """packet_no, files and token estimate of batches in path order."""
+    files, rn = ranked(files, [F.col("path")], "rn"), F.col("rn")
     return files.withColumn("packet_no", F.floor((rn - 1) / batch).cast("bigint")).groupBy("packet_no").agg(F.count("*").alias("files"), F.ceil(F.sum("bytes") / 4).cast("bigint").alias("tokens"))
 
 
@@ -101,8 +116,7 @@ def broken_chain(attempts: DataFrame, key: str, order: str, state: str) -> DataF
 
 def review_order(findings: DataFrame) -> DataFrame:
     """Findings with their place in review order: severity, impact, confidence, instances, identity, id (O2)."""
-    order = Window.orderBy(F.col("severity_rank"), F.col("impact_rank"), F.col("confidence_rank"), F.desc("instance_count"), "identity", "id")
-    return findings.withColumn("place", F.row_number().over(order).cast("bigint"))
+    return ranked(findings, [F.col("severity_rank"), F.col("impact_rank"), F.col("confidence_rank"), F.desc("instance_count"), F.col("identity"), F.col("id")], "place")
 
 
 def mode(key: str, column: str, counts: DataFrame) -> DataFrame:

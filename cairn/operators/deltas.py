@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 def delta(old: DataFrame, new: DataFrame, key: str, compare: list[str]) -> DataFrame:
     """key, status: added, removed, changed (any of ``compare`` differs) or same.
 
-    One shuffle of each side on the key; the columns compared travel as a hash.
+    One shuffle of each side on the key.  A null is a value like any other.
     """
-    mark = lambda df, name: df.select(key, F.xxhash64(*compare).alias(name), F.lit(True).alias(f"{name}_in"))
+    mark = lambda df, name: df.select(key, F.struct(*compare).alias(name), F.lit(True).alias(f"{name}_in"))
     both = mark(old, "a").join(mark(new, "b"), key, "full_outer")
-    status = F.when(F.col("a_in").isNull(), "added").when(F.col("b_in").isNull(), "removed").when(F.col("a") != F.col("b"), "changed").otherwise("same")
+    status = F.when(F.col("a_in").isNull(), "added").when(F.col("b_in").isNull(), "removed").when(~F.col("a").eqNullSafe(F.col("b")), "changed").otherwise("same")
     return both.select(key, status.alias("status"))
 
 

@@ -11,7 +11,7 @@ import shutil
 import tempfile
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,6 +34,11 @@ def _settle(edges: DataFrame) -> DataFrame:
     return cut(edges.select("src", "dst").distinct().repartition("src"))
 
 
+def _compact(parts: list[DataFrame], most: int = 8) -> list[DataFrame]:
+    """The tables of all rounds, written as one after ``most`` of them, so that a round reads a bounded number of tables."""
+    return parts if len(parts) <= most else [cut(reduce(DataFrame.unionByName, parts))]
+
+
 def k_hop(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     """node, depth: the nodes within ``depth`` steps of the seeds (node), all if None."""
     edges = _settle(edges)
@@ -45,7 +50,7 @@ def k_hop(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataF
         frontier = cut(near.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(step).cast("bigint")))
         if frontier.isEmpty():
             break
-        parts.append(frontier)
+        parts = _compact([*parts, frontier])
         seen = reduce(DataFrame.unionByName, parts)
     return seen
 
@@ -69,7 +74,7 @@ def contexts(edges: DataFrame, entrypoints: DataFrame) -> DataFrame:
         frontier = cut(near.join(seen, ["node", "origin"], "left_anti"))
         if frontier.isEmpty():
             return seen
-        parts.append(frontier)
+        parts = _compact([*parts, frontier])
         seen = reduce(DataFrame.unionByName, parts)
 
 
@@ -95,7 +100,97 @@ def layers(edges: DataFrame, nodes: DataFrame, most: int = 5) -> DataFrame:
     return state
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """Out- and in-degree of each node."""
-    both = edges.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("dst", F.lit(0), F.lit(1)))
-    return both.groupBy("node").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"))
+def adjacency(edges: DataFrame, most: int = 1000) -> DataFrame:
+    """node, direction (out, in), part, neighbours: each node's sorted neighbours, in lists of at most ``most``.
+
+    A hub has many lists, so no row grows with its degree.
+    """
+    out = edges.select(F.col("src").alias("node"), F.lit("out").alias("direction"), F.col("dst").alias("other"))
+    both = out.unionByName(edges.select(F.col("dst").alias("node"), F.lit("in").alias("direction"), F.col("src").alias("other"))).distinct()
+    rn = F.row_number().over(Window.partitionBy("node", "direction").orderBy("other"))
+    parts = both.withColumn("part", F.floor((rn - 1) / most).cast("bigint"))
+    return parts.groupBy("node", "direction", "part").agg(F.array_sort(F.collect_list("other")).alias("neighbours"))
+
+
+def contexts_by_scope(edges: DataFrame, entrypoints: DataFrame) -> DataFrame:
+    """node, origins (their number), scopes: what reaches a node, of entrypoints (node, scope)."""
+    pairs = contexts(edges, entrypoints)
+    scopes = entrypoints.select(F.col("node").alias("origin"), "scope").distinct()
+    return pairs.join(scopes, "origin").groupBy("node").agg(F.count_distinct("origin").alias("origins"), F.array_join(F.array_sort(F.collect_set("scope")), ",").alias("scopes"))
+
+
+def scope_states(scopes: DataFrame, reached: DataFrame) -> DataFrame:
+    """loader scopes (scope, loader, target, complete) with state: inactive, complete or incomplete."""
+    hit = reached.select(F.col("node").alias("loader")).distinct().withColumn("hit", F.lit(True))
+    seen = scopes.join(hit, "loader", "left")
+    return seen.withColumn("state", F.when(F.col("hit").isNull(), "inactive").when(F.col("complete"), "complete").otherwise("incomplete")).drop("hit")
+
+
+def gated(scopes: DataFrame, reached: DataFrame) -> DataFrame:
+    """node: the targets of incomplete scopes, of which nothing may be claimed."""
+    return scope_states(scopes, reached).where("state = 'incomplete'").select(F.col("target").alias("node")).distinct()
+
+
+def configured_scopes(rules: DataFrame, paths: DataFrame, glob_match: Column) -> DataFrame:
+    """rule, targets, complete: a rule (rule, pattern) is complete if each of its patterns matches a path.
+
+    ``glob_match`` compares ``pattern`` with ``path``; the rules are a few rows of configuration.
+    """
+    hits = F.broadcast(rules).join(paths.select("path"), glob_match, "left").groupBy("rule", "pattern").agg(F.count("path").alias("n"))
+    return hits.groupBy("rule").agg(F.sum("n").alias("targets"), F.bool_and(F.col("n") > 0).alias("complete"))
+
+
+def uncovered_scopes(loads: DataFrame, covered: DataFrame, reached: DataFrame) -> DataFrame:
+    """loader, root, scope, bounded, n, state: dynamic loads (id, ...) that no scope covers, in groups."""
+    open_loads = loads.join(covered.select("id"), "id", "left_anti").groupBy("loader", "root", "scope", "bounded").agg(F.count("*").alias("n"))
+    hit = reached.select(F.col("node").alias("loader")).distinct().withColumn("hit", F.lit(True))
+    return open_loads.join(hit, "loader", "left").withColumn("state", F.when(F.col("hit"), "incomplete").otherwise("inactive")).drop("hit")
+
+
+def neighborhood(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "both", most_nodes: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(nodes, report): nodes (node, depth) within ``depth`` steps, the nearest and least ``most_nodes``; report: n, truncated.
+
+    ``direction`` is out, in or both.
+    """
+    way = {"out": lambda e: e, "in": reverse, "both": lambda e: e.select("src", "dst").unionByName(reverse(e))}[direction]
+    found = k_hop(way(edges.select("src", "dst")), seeds, depth)
+    report = found.agg(F.least(F.count("*"), F.lit(most_nodes)).alias("n"), (F.count("*") > most_nodes).alias("truncated"))
+    return found.orderBy("depth", "node").limit(most_nodes), report
+
+
+def compose_routes(mounts: DataFrame, roots: DataFrame, routes: DataFrame, most: int = 32) -> tuple[DataFrame, DataFrame]:
+    """(paths, cycles): full paths of routes (router, path) over mounts (src, dst, base) from roots (router).
+
+    The way of a context is kept; a mount back onto it is a cycle and is
+    reported (router) in place of being followed.
+    """
+    step = cut(roots.select("router", F.lit("").alias("base"), F.array("router").alias("way")))
+    parts, cycles = [step], []
+    for _ in range(most):
+        onward = step.join(mounts.select(F.col("src").alias("router"), "dst", F.col("base").alias("add")), "router")
+        cycles.append(onward.where(F.array_contains("way", F.col("dst"))).select(F.col("dst").alias("router")))
+        step = cut(onward.where(~F.array_contains("way", F.col("dst"))).select(F.col("dst").alias("router"), F.concat("base", "add").alias("base"), F.array_append("way", F.col("dst")).alias("way")))
+        if step.isEmpty():
+            break
+        parts = _compact([*parts, step])
+    contexts_ = reduce(DataFrame.unionByName, parts)
+    full = contexts_.join(routes, "router").select(F.concat("base", "path").alias("path")).distinct()
+    return full, reduce(DataFrame.unionByName, cycles).distinct()
+
+
+def with_synthetic_nodes(files: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, label, kind: file nodes, and one for each unresolved target, named by a hash (G19); edges have dst (null if unresolved), resolution and specifier."""
+    made = edges.where("dst is null").select("resolution", "specifier").distinct()
+    name = F.concat(F.lit("dependency_sha256_"), F.sha2(F.concat_ws("\u0000", "resolution", "specifier"), 256))
+    return files.select("id", F.col("path").alias("label"), F.lit("file").alias("kind")).unionByName(made.select(name.alias("id"), F.col("specifier").alias("label"), F.lit("dependency").alias("kind")))
+
+
+def mermaid(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """ord, line: a flow chart with nodes (id, label) numbered in order of id, then edges (G20); for a selection that is to be looked at."""
+    n = nodes.withColumn("alias", F.concat(F.lit("n"), F.row_number().over(Window.orderBy("id")) - 1))
+    text = lambda c: F.regexp_replace(c, '["|<>]', " ")
+    head = n.sparkSession.createDataFrame([("0", "flowchart LR")], "ord string, line string")
+    own = n.select(F.concat(F.lit("1"), "id").alias("ord"), F.concat(F.lit("  "), "alias", F.lit('["'), text(F.col("label")), F.lit('"]')).alias("line"))
+    side = lambda c: n.select(F.col("id").alias(c), F.col("alias").alias(f"{c}_alias"))
+    both = edges.join(side("src"), "src").join(side("dst"), "dst")
+    return head.unionByName(own).unionByName(both.select(F.concat(F.lit("2"), "src", F.lit(" "), "dst", F.lit(" "), "type").alias("ord"), F.concat(F.lit("  "), "src_alias", F.lit(" -->|"), text(F.col("type")), F.lit("| "), "dst_alias").alias("line")))

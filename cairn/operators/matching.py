@@ -120,20 +120,27 @@ def prefer(first: DataFrame, second: DataFrame, key: str, value: str) -> DataFra
     return both.select(key, F.coalesce("a", "b").alias(value), F.when(F.col("a").isNotNull(), "first").otherwise("second").alias("origin"))
 
 
-def route_mismatches(clients: DataFrame, routes: DataFrame, budget: int = 1_000_000_000) -> DataFrame:
+def route_mismatches(clients: DataFrame, routes: DataFrame) -> DataFrame:
     """client_id, state: missing (no route of the path) or method (path but not method).
 
     Rows have ``segments`` (array; a parameter starts with ``:``, an optional one
-    ends with ``?``) and ``method``.  Optional parameters are expanded, then
-    routes join on the number of segments.  Beyond the budget of pairs no claim
-    is made at all.
+    ends with ``?``) and ``method``.  Optional parameters are expanded.  Both
+    sides have literal segments up to their first parameter; of a pair that
+    agrees, these agree as far as the shorter goes.  So a pair is found by the
+    number of segments and those literals, in one of two equi joins.
     """
-    if clients.count() * routes.count() > budget:
-        return clients.limit(0).select("client_id", F.lit("").alias("state"))
     short = F.filter("segments", lambda s: ~F.endswith(s, F.lit("?")))
     variants = routes.select(F.explode(F.array_distinct(F.array(F.col("segments"), short))).alias("r"), F.col("method").alias("rm")).distinct()
-    pairs = clients.join(variants, F.size("segments") == F.size("r"))
     parameter = lambda s: F.startswith(s, F.lit(":"))
+    literal = lambda x: F.coalesce(F.nullif(F.array_position(F.transform(x, parameter), True), F.lit(0)) - 1, F.size(x).cast("bigint"))
+    key = lambda x, m: F.concat_ws("/", F.size(x), F.array_join(F.slice(x, F.lit(1), m.cast("int")), "/"), m)
+    upto = lambda x, last: F.transform(F.sequence(F.lit(0).cast("bigint"), last), lambda m: key(x, m))
+    c, r = F.col("segments"), F.col("r")
+    whole = variants.withColumn("key", key(r, literal(r)))
+    one = clients.withColumn("key", F.explode(upto(c, literal(c)))).join(whole, "key")
+    short_of = variants.where(literal(r) > 0).withColumn("key", F.explode(upto(r, literal(r) - 1)))
+    two = clients.withColumn("key", key(c, literal(c))).join(short_of, "key")
+    pairs = one.unionByName(two)
     alike = F.forall(F.zip_with("segments", "r", lambda c, s: parameter(c) | parameter(s) | (c == s)), lambda x: x)
     method = (F.col("rm") == "ANY") | (F.col("rm") == F.col("method")) | ((F.col("method") == "HEAD") & (F.col("rm") == "GET")) | (F.col("method") == "OPTIONS")
     hit = pairs.where(alike).groupBy("client_id").agg(F.max(method).alias("ok"))

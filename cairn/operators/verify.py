@@ -14,11 +14,20 @@ def repeated(df: DataFrame, *key: str) -> DataFrame:
 
 
 def unsorted(df: DataFrame, ordinal: str, key: str) -> DataFrame:
-    """Rows whose key is below that of the row before, within blocks of 1024 ordinals and across their bounds (V7)."""
+    """Rows whose key is below that of the row before in the order of ``ordinal``, which may have gaps (V7).
+
+    Rows are compared in blocks of 1024 ordinals; the first of a block with the
+    last key of the nearest block before it that has rows.  That one is found
+    among the blocks of the same 1024, else among the last blocks of those, so
+    the only window without a partition has a row per million ordinals.
+    """
     block = df.withColumn("b", F.floor(F.col(ordinal) / 1024))
     inner = block.withColumn("before", F.lag(key).over(Window.partitionBy("b").orderBy(ordinal)))
-    ends = block.groupBy("b").agg(F.max_by(key, ordinal).alias("last")).select((F.col("b") + 1).alias("b"), "last")
-    return inner.join(ends, "b", "left").where(F.col(key) < F.coalesce("before", "last")).select(ordinal, key)
+    ends = block.groupBy("b").agg(F.max_by(key, ordinal).alias("last")).withColumn("g", F.floor(F.col("b") / 1024))
+    near = ends.select("b", "g", F.lag("last").over(Window.partitionBy("g").orderBy("b")).alias("near"))
+    far = ends.groupBy("g").agg(F.max_by("last", "b").alias("last")).select("g", F.lag("last").over(Window.orderBy("g")).alias("far"))
+    ahead = near.join(far, "g").select("b", F.coalesce("near", "far").alias("last"))
+    return inner.join(ahead, "b", "left").where(F.col(key) < F.coalesce("before", "last")).select(ordinal, key)
 
 
 def digest_mismatch(manifest: DataFrame, content: DataFrame) -> DataFrame:

@@ -146,29 +146,31 @@ def _(i: Inputs) -> DataFrame:
     return M.unused(name(i.part, "p_partkey"), name(i.lineitem.where("l_quantity >= 49"), "l_partkey"), name(i.part.where("p_size = 7"), "p_partkey"), "name")
 
 
-@_query("j16_declarations", "with d as (select distinct s_nationkey as k from supplier), c as (select distinct c_nationkey as k from customer where c_acctbal > 9000) select k, 'missing' as role from c where k not in (select k from d) union all select k, 'unused' from d where k not in (select k from c)")
+@_query("j16_declarations", "with d as (select distinct o_custkey as k from orders where o_orderstatus = 'F'), c as (select distinct c_custkey as k from customer where c_acctbal > 1000) select k, 'missing' as role from c where k not in (select k from d) union all select k, 'unused' from d where k not in (select k from c)")
 def _(i: Inputs) -> DataFrame:
-    return M.missing_and_unused(i.supplier.select(F.col("s_nationkey").alias("k")), i.customer.where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k")), ["k"])
+    return M.missing_and_unused(i.orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")), i.customer.where("c_acctbal > 1000").select(F.col("c_custkey").alias("k")), ["k"])
 
 
 _BARE = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
 
 
-@_query("j17_name_prefixes", f"with a as (select distinct p_name as n, {_BARE.format('p_name')} as b from part), c as (select distinct concat(p_name, '-', p_size) as n, {_BARE.format("concat(p_name, '-', p_size)")} as b from part where p_partkey <= 200) select distinct a.n as a_name, c.n as b_name from a join c on a.b <> c.b and length(a.b) >= 6 and length(c.b) >= 6 and (starts_with(a.b, c.b) or starts_with(c.b, a.b))")
+@_query("j17_name_prefixes", f"with a as (select distinct p_name as n, {_BARE.format('p_name')} as b from part), c as (select distinct concat(p_name, '-', p_size) as n, {_BARE.format("concat(p_name, '-', p_size)")} as b from part) select distinct a.n as a_name, c.n as b_name from a join c on a.b <> c.b and length(a.b) >= 6 and length(c.b) >= 6 and (starts_with(a.b, c.b) or starts_with(c.b, a.b))")
 def _(i: Inputs) -> DataFrame:
-    small = i.part.where("p_partkey <= 200").select(F.concat("p_name", F.lit("-"), F.col("p_size").cast("string")).alias("name"))
+    small = i.part.select(F.concat("p_name", F.lit("-"), F.col("p_size").cast("string")).alias("name"))
     return M.name_prefix_pairs(i.part.select(F.col("p_name").alias("name")).distinct(), small.distinct())
 
 
-_ROUTES = "r as (select concat('/api/', split_part(url, '/', 4), '/:id') as route, case when page_id % 2 = 0 then 'GET' else 'ANY' end as m from pages where page_id % 3 <> 0), c as (select page_id as client_id, concat('/api/', split_part(url, '/', 4), '/', page_id) as path, case when page_id % 5 = 0 then 'POST' else 'GET' end as m from pages)"
+_ROUTES = "r as (select concat('/', n_regionkey, '/', n_nationkey, '/:id') as route, case when n_nationkey % 2 = 0 then 'GET' else 'ANY' end as m from nation where n_nationkey % 3 <> 0 union all select '/:any/7/x', 'POST'), c as (select c_custkey as client_id, concat('/', n_regionkey, '/', n_nationkey, '/', case when c_custkey % 4 = 0 then 'x' else cast(c_custkey as varchar) end) as path, case when c_custkey % 5 = 0 then 'POST' else 'GET' end as m from customer join nation on n_nationkey = c_nationkey)"
 
 
-@_query("j18_routes", f"with {_ROUTES} select client_id, case when ok is null then 'missing' else 'method' end as state from (select client_id, bool_or(r.m in ('ANY', c.m)) filter (r.route is not null) as ok from c left join r on regexp_replace(r.route, '/:id$', '') = regexp_replace(c.path, '/[^/]*$', '') group by 1) where ok is null or not ok")
+@_query("j18_routes", f"with {_ROUTES} select client_id, case when ok is null then 'missing' else 'method' end as state from (select client_id, bool_or(r.m in ('ANY', c.m)) filter (r.route is not null) as ok from c left join r on regexp_matches(c.path, concat('^', regexp_replace(r.route, ':[a-z]+', '[^/]+', 'g'), '$')) group by 1) where ok is null or not ok")
 def _(i: Inputs) -> DataFrame:
-    part = F.get(F.split("url", "/"), F.lit(3))
-    part = F.coalesce(part, F.lit(""))
-    routes = i.pages.where("page_id % 3 <> 0").select(F.split(F.concat(F.lit("/api/"), part, F.lit("/:id")), "/").alias("segments"), F.when(F.col("page_id") % 2 == 0, "GET").otherwise("ANY").alias("method")).distinct()
-    clients = i.pages.select(F.col("page_id").alias("client_id"), F.split(F.concat(F.lit("/api/"), part, F.lit("/"), F.col("page_id").cast("string")), "/").alias("segments"), F.when(F.col("page_id") % 5 == 0, "POST").otherwise("GET").alias("method"))
+    text = lambda *parts: F.split(F.concat(*parts), "/")
+    s = F.lit("/")
+    routes = i.nation.where("n_nationkey % 3 <> 0").select(text(s, "n_regionkey", s, "n_nationkey", F.lit("/:id")).alias("segments"), F.when(F.col("n_nationkey") % 2 == 0, "GET").otherwise("ANY").alias("method"))
+    routes = routes.unionByName(i.spark.range(1).select(text(F.lit("/:any/7/x")).alias("segments"), F.lit("POST").alias("method")))
+    last = F.when(F.col("c_custkey") % 4 == 0, "x").otherwise(F.col("c_custkey").cast("string"))
+    clients = i.customer.join(i.nation, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("client_id"), text(s, "n_regionkey", s, "n_nationkey", s, last).alias("segments"), F.when(F.col("c_custkey") % 5 == 0, "POST").otherwise("GET").alias("method"))
     return M.route_mismatches(clients, routes)
 
 
@@ -223,16 +225,16 @@ def _(i: Inputs) -> DataFrame:
     return M.dangling(i.edges.where("type = 'contains'"), "dst", i.part.where("p_size > 5").select(F.concat(F.lit("p"), "p_partkey").alias("node"))).select("src", "dst", "type")
 
 
-@_query("j30_bind_unique", "select p_brand as key, case n when 0 then 'none' when 1 then 'one' else 'ambiguous' end as state from (select b.p_brand, count(p.p_partkey) as n from (select distinct p_brand from part) b left join part p on p.p_brand = b.p_brand and p.p_size = 1 and p.p_partkey <= 1000 group by 1)")
+@_query("j30_bind_unique", "select p_brand as key, case n when 0 then 'none' when 1 then 'one' else 'ambiguous' end as state from (select b.p_brand, count(p.p_partkey) as n from (select distinct p_brand from part) b left join part p on p.p_brand = b.p_brand and p.p_size = 1 group by 1)")
 def _(i: Inputs) -> DataFrame:
     brand = F.col("p_brand").alias("key")
-    return M.bind_unique(i.part.select(brand), i.part.where("p_size = 1 and p_partkey <= 1000").select(brand), "key")
+    return M.bind_unique(i.part.select(brand), i.part.where("p_size = 1").select(brand), "key")
 
 
-@_query("j31_required_signals", sql("select concat('u', c_custkey) as case_id, coalesce(bool_or(severity = 'high' and rule_id = 'error'), false) as matched from customer left join findings on path = concat('u', c_custkey) where c_custkey <= 300 group by 1", "findings"))
+@_query("j31_required_signals", sql("select concat('u', c_custkey) as case_id, coalesce(bool_or(severity = 'high' and rule_id = 'error'), false) as matched from customer left join findings on path = concat('u', c_custkey) group by 1", "findings"))
 def _(i: Inputs) -> DataFrame:
     u = F.concat(F.lit("u"), "c_custkey")
-    cases = i.customer.where("c_custkey <= 300").select(u.alias("case_id"), u.alias("path"), F.array(F.lit("high"), F.lit("error")).alias("required"))
+    cases = i.customer.select(u.alias("case_id"), u.alias("path"), F.array(F.lit("high"), F.lit("error")).alias("required"))
     return M.required_signals(cases, i.findings.select("path", F.array("severity", "rule_id").alias("signals")), "path")
 
 
@@ -280,9 +282,13 @@ def _(i: Inputs) -> DataFrame:
     return V.portable(i.documents, "text", ["AKIA[0-9A-Z]{16}", 'token = "[0-9a-f]{40}"']).select("doc_id")
 
 
-@_query("s04_language", sql("select path, 'txt' as language, 'other' as kind from files", "files"))
+_NAMES = ["src/a.ts", "src/b.tsx", "lib/c.test.js", "docs/d.md", "tests/e.py", "f.sql", "g.YAML", "package.json", "h.rs", "bin/i", ".env.example", "web/j.scss"]
+
+
+@_query("s04_language", "with f as (select concat(p_partkey, '/', list_extract([" + ", ".join(f"'{n}'" for n in _NAMES) + "], cast(p_partkey % 12 + 1 as bigint))) as path, p_partkey % 12 as k from part) select path, list_extract(['typescript', 'typescript-tsx', 'javascript', 'markdown', 'python', 'sql', 'yaml', 'json', 'rs', 'unknown', 'dotenv-template', 'stylesheet'], k + 1) as language, list_extract(['source', 'source', 'test', 'documentation', 'test', 'other', 'configuration', 'configuration', 'other', 'other', 'configuration', 'other'], k + 1) as kind from f")
 def _(i: Inputs) -> DataFrame:
-    return i.files.select("path", IO.language(F.col("path")).alias("language"), IO.kind(F.col("path")).alias("kind"))
+    path = F.concat(F.col("p_partkey"), F.lit("/"), F.get(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % 12).cast("int")))
+    return i.part.select(path.alias("path")).select("path", IO.language(F.col("path")).alias("language"), IO.kind(F.col("path")).alias("kind"))
 
 
 @_query("s17_links", "select page_id, url, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) as href from pages")
@@ -369,8 +375,7 @@ def _(i: Inputs) -> DataFrame:
 
 @_query("a18_pattern_samples", sql("select language, array_to_string(p[1:32], ',') as sample, cast(greatest(len(p) - 32, 0) as bigint) as more from (select language, list_sort(list(path)) as p from files group by 1)", "files"))
 def _(i: Inputs) -> DataFrame:
-    sample, more = A.capped_list("path", 32)
-    return i.files.groupBy("language").agg(sample.alias("sample"), more.alias("more"))
+    return A.first_values(i.files, "language", "path", 32, "sample")
 
 
 @_query("a19_packets", sql("select (rn - 1) // 25 as packet_no, count(*) as files, cast(ceil(sum(bytes) / 4.0) as bigint) as tokens from (select *, row_number() over (order by path) as rn from files) group by 1", "files"))
@@ -383,9 +388,9 @@ def _(i: Inputs) -> DataFrame:
     return i.orders.groupBy(F.col("o_orderstatus").alias("state")).agg(F.count("*").alias("n"), F.sum("o_custkey").alias("spent"))
 
 
-@_query("a24_adjacency", sql("select node, cast(sum(o) as bigint) as n_out, cast(sum(i) as bigint) as n_in from (select src as node, 1 as o, 0 as i from edges union all select dst, 0, 1 from edges) group by 1", "edges"))
+@_query("a24_adjacency", sql("select node, direction, part, string_agg(other, ',' order by other) as neighbours from (select *, (row_number() over (partition by node, direction order by other) - 1) // 100 as part from (select distinct src as node, 'out' as direction, dst as other from edges union select distinct dst, 'in', src from edges)) group by 1, 2, 3", "edges"))
 def _(i: Inputs) -> DataFrame:
-    return G.adjacency(i.edges)
+    return G.adjacency(i.edges, 100).withColumn("neighbours", F.array_join("neighbours", ","))
 
 
 @_query("a26_clusters", sql("select left(src, 1) as src_cluster, left(dst, 1) as dst_cluster, type, count(*) as n from edges group by 1, 2, 3", "edges"))
@@ -410,8 +415,7 @@ def _(i: Inputs) -> DataFrame:
 
 @_query("w06_first_n", "select o_custkey as k, array_to_string(x[1:8], ',') as first, cast(greatest(len(x) - 8, 0) as bigint) as more from (select o_custkey, list_sort(list(distinct o_orderkey)) as x from orders group by 1)")
 def _(i: Inputs) -> DataFrame:
-    first, more = A.capped_list("o_orderkey")
-    return i.orders.groupBy(F.col("o_custkey").alias("k")).agg(first.alias("first"), more.alias("more"))
+    return A.first_values(i.orders.select(F.col("o_custkey").alias("k"), "o_orderkey"), "k", "o_orderkey", 8, "first")
 
 
 @_query("w08_attempt_chain", "select o_orderkey as id, before from (select o_orderkey, lag(o_orderstatus) over (partition by o_custkey order by o_orderkey) as before from orders) where before is not null and before <> 'F'")
@@ -430,12 +434,12 @@ def _(i: Inputs) -> DataFrame:
     return A.running_flag(i.conversations.withColumn("f", F.contains("text", F.lit("the"))), "conv_id", "turn", "f").select("conv_id", "turn", "running")
 
 
-@_query("o02_review_order", sql(f"select id, row_number() over (order by 3 - {_RANKS}, case confidence when 'high' then 0 when 'medium' then 1 else 2 end, case confidence when 'high' then 0 when 'medium' then 1 else 2 end, instance_count desc, path, id) as place from findings where rule_id = 'error'", "findings"))
+@_query("o02_review_order", sql(f"select id, row_number() over (order by 3 - {_RANKS}, case confidence when 'high' then 0 when 'medium' then 1 else 2 end, case confidence when 'high' then 0 when 'medium' then 1 else 2 end, instance_count desc, path, id) as place from findings", "findings"))
 def _(i: Inputs) -> DataFrame:
     from ..schemas import SEVERITY, rank
 
     c = F.when(F.col("confidence") == "high", 0).when(F.col("confidence") == "medium", 1).otherwise(2)
-    rows = i.findings.where("rule_id = 'error'").select("id", F.col("path").alias("identity"), "instance_count", (3 - rank(F.col("severity"), SEVERITY)).alias("severity_rank"), c.alias("impact_rank"), c.alias("confidence_rank"))
+    rows = i.findings.select("id", F.col("path").alias("identity"), "instance_count", (3 - rank(F.col("severity"), SEVERITY)).alias("severity_rank"), c.alias("impact_rank"), c.alias("confidence_rank"))
     return A.review_order(rows).select("id", "place")
 
 
@@ -456,10 +460,10 @@ def _(i: Inputs) -> DataFrame:
     return G.k_hop(i.edges, _seeds(i, "p1")).select("node")
 
 
-@_query("g05_contexts", sql("select node, count(*) as origins from (select distinct node, origin from r) group by 1", "edges", recursive=True, ctes="r as (select concat('c', c_custkey) as node, concat('c', c_custkey) as origin from customer where c_custkey <= 5 union select dst, origin from r join edges on src = node)"))
+@_query("g05_contexts", sql("select node, count(distinct origin) as origins, string_agg(distinct scope, ',' order by scope) as scopes from r join (select concat('p', p_partkey) as origin, case when p_size % 2 = 0 then 'test' else 'production' end as scope from part) using (origin) group by 1", "edges", recursive=True, ctes="r as (select concat('p', p_partkey) as node, concat('p', p_partkey) as origin from part union select dst, origin from r join edges on src = node)"))
 def _(i: Inputs) -> DataFrame:
-    entry = i.customer.where("c_custkey <= 5").select(F.concat(F.lit("c"), "c_custkey").alias("node"))
-    return G.contexts(i.edges, entry).groupBy("node").agg(F.count("*").alias("origins"))
+    entry = i.part.select(F.concat(F.lit("p"), "p_partkey").alias("node"), F.when(F.col("p_size") % 2 == 0, "test").otherwise("production").alias("scope"))
+    return G.contexts_by_scope(i.edges, entry)
 
 
 @_query("g10_k_hop", sql("select node, min(depth) as depth from r group by 1", "edges", recursive=True, ctes="r as (select 'c1' as node, 0::bigint as depth union select dst, depth + 1 from r join edges on src = node where depth < 2)"))
