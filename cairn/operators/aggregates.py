@@ -38,9 +38,9 @@ def pattern_groups(findings: DataFrame) -> DataFrame:
     return by.select("rule_id", "pattern_key", "instance_count", value(F.col("s"), SEVERITY).alias("severity"), value(F.col("c"), CONFIDENCE).alias("confidence"), F.col("primary.path").alias("path"), F.when(F.col("instance_count") == 1, F.col("primary.id")).otherwise(made).alias("id"))
 
 
-def sole_or(column: str, many: str = "mixed") -> Column:
-    """The only value of a group, else ``many``."""
-    return F.when(F.min(column) == F.max(column), F.min(column)).otherwise(many)
+def sole_or(column: str, many: str = "mixed", none: str = "unknown") -> Column:
+    """The only value of a group, else ``many``; ``none`` if a row has none."""
+    return F.when(F.count(column) < F.count(F.lit(1)), none).when(F.min(column) == F.max(column), F.min(column)).otherwise(many)
 
 
 def capped_severity(severity: Column, ceiling: Column) -> Column:
@@ -129,3 +129,64 @@ def cluster_edges(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     """Edges between clusters (node, cluster) with counts."""
     side = lambda n: clusters.select(F.col("node").alias(n), F.col("cluster").alias(f"{n}_cluster"))
     return edges.join(side("src"), "src").join(side("dst"), "dst").groupBy("src_cluster", "dst_cluster", "type").agg(F.count("*").alias("n"))
+
+
+def histogram(df: DataFrame, column: str, domain: tuple[str, ...]) -> DataFrame:
+    """column, n for every value of a fixed domain, zeros included (A4)."""
+    values = df.sparkSession.createDataFrame([(v,) for v in domain], f"{column} string")
+    return F.broadcast(values).join(counts_by(df, column), column, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def rule_health(catalog: DataFrame, findings: DataFrame) -> DataFrame:
+    """rule_id, n, state of each rule of the catalog (rule_id, least, most): missing, noisy or ok."""
+    n = F.coalesce("n", F.lit(0))
+    rows = catalog.join(counts_by(findings, "rule_id"), "rule_id", "left").withColumn("n", n)
+    return rows.select("rule_id", "n", F.when(F.col("n") < F.col("least"), "missing").when(F.col("n") > F.col("most"), "noisy").otherwise("ok").alias("state"))
+
+
+def suppressed_by_rule(findings: DataFrame, states: DataFrame) -> DataFrame:
+    """rule_id, instances of the findings that dispositions suppress."""
+    gone = findings.join(states.where("state = 'suppressed'").select("id"), "id", "left_semi")
+    return gone.groupBy("rule_id").agg(F.sum(F.coalesce("instance_count", F.lit(1))).alias("instances"))
+
+
+def merged_contexts(rows: DataFrame, key: list[str], column: str, most: int = 64) -> DataFrame:
+    """key, contexts, more: the first ``most`` distinct contexts of each anchor and how many are left."""
+    wide = rows.withColumn("__key", F.struct(*key))
+    return first_values(wide, "__key", column, most, "contexts").select(*(F.col(f"__key.{k}").alias(k) for k in key), "contexts", "more")
+
+
+def queue_groups(findings: DataFrame, key: list[str], most: int = 4) -> DataFrame:
+    """key, findings, instances, anchors, best: groups of the work queue.
+
+    Anchors are distinct paths, at most ``most`` of each finding (its array
+    ``paths``); the best finding is the first by severity and id.
+    """
+    anchors = findings.select(*key, F.explode(F.slice("paths", 1, most)).alias("path")).distinct().groupBy(*key).agg(F.count("*").alias("anchors"))
+    sums = findings.groupBy(*key).agg(F.count("*").alias("findings"), F.sum(F.coalesce("instance_count", F.lit(1))).alias("instances"), F.min_by("id", F.struct(-rank(F.col("severity"), SEVERITY), F.col("id"))).alias("best"))
+    return sums.join(anchors, key)
+
+
+def subjects(differences: DataFrame, key: list[str], column: str) -> DataFrame:
+    """key and the dimensions in which a subject differs (A28); there are a few dimensions."""
+    return differences.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set(column)), ",").alias("dimensions"))
+
+
+def over_limit(files: DataFrame, column: str, most: int) -> DataFrame:
+    """total, if the sum of a column is beyond a limit."""
+    return files.agg(F.coalesce(F.sum(column), F.lit(0)).alias("total")).where(F.col("total") > most)
+
+
+def occurrence_with_omitted(visible: DataFrame, omitted: DataFrame, identity: str = "identity", order: str = "id") -> DataFrame:
+    """Visible rows with their review_id; suppressed rows of the same identity are counted too."""
+    from .matching import occurrence_keys
+
+    rows = visible.withColumn("__seen", F.lit(True)).unionByName(omitted.withColumn("__seen", F.lit(False)))
+    return occurrence_keys(rows, identity, order).where("__seen").drop("__seen")
+
+
+def clusters_with_tail(edges: DataFrame, clusters: DataFrame, most: int) -> DataFrame:
+    """Edges between clusters with counts; all but the ``most`` largest clusters are 'other' (A26)."""
+    top = clusters.groupBy("cluster").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cluster").limit(most).select("cluster", F.lit(True).alias("keep"))
+    named = clusters.join(F.broadcast(top), "cluster", "left").select("node", F.when(F.col("keep"), F.col("cluster")).otherwise("other").alias("cluster"))
+    return cluster_edges(edges, named)

@@ -549,3 +549,6 @@ def _(i: Inputs) -> DataFrame:
 @_query("t02_ledger", "select user_id as execution, arg_max(event_type, event_id) as state, count(*) as revision from events group by 1")
 def _(i: Inputs) -> DataFrame:
     return R.ledger_state(i.events.select(F.col("user_id").alias("execution"), F.col("event_type").alias("state"), F.col("event_id").alias("ord")))
+
+
+from . import more  # noqa: E402, F401  # registers its queries here

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 SEVERITY = ("info", "low", "medium", "high")
 CONFIDENCE = ("unknown", "low", "medium", "high", "confirmed")
-BANDS = ("production-ungated", "production-gate-unknown", "production-gated", "cli", "build-migration-seeder", "test", "reachability-incomplete", "inactive")
 
 
 def rank(column: Column, order: tuple[str, ...]) -> Column:
