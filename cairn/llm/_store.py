@@ -21,7 +21,7 @@ from zipfile import ZipFile
 from pyspark.sql import DataFrame, SparkSession
 
 #: Most rows and bytes of one Arrow batch; texts may be long.
-BATCH_ROWS, BATCH_BYTES = 20_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 10_000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -26,7 +26,7 @@ M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _29, _32, _61 = (np.uint64(x) for x in (29, 32, 61))
 _LOW29, _LOW32 = np.uint64((1 << 29) - 1), np.uint64((1 << 32) - 1)
 #: Bytes of text that the kernels work on at a time; one longer text is a chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Symbols that are summed at a time; products of a byte and half a power then fit 64 bits.
 _STEP = 1 << 15
 _powers: dict[object, np.ndarray] = {}

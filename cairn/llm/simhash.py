@@ -37,6 +37,8 @@ SAMPLE, MOST_SAMPLE, MAX_SHARDS = 65_536, 1 << 20, 1 << 16
 SHARD, HOT = 2048, 32_768
 #: Leaves within a shard.
 LEAF = 512
+#: Shingles whose bits are spread at a time.
+SPREAD = 1 << 15
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
 
@@ -123,12 +125,17 @@ def _fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = 3) -> np
     ok[first[short]] = True
     last[first[short]] = first[short] + n[short] - 1
     at = np.flatnonzero(ok)
-    h = xxh64(flat, to[at], to[last[at] + 1] - 1)
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    begin = np.flatnonzero(np.concatenate(([True], row[at][1:] != row[at][:-1])))
-    count = np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
-    total = np.diff(np.concatenate((begin, [len(at)])))
-    fp[row[at][begin]] = np.packbits(2 * count > total[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    owner, count = row[at], np.zeros((len(fp), 64), np.int32)
+    # A few shingles at a time: each is 64 bytes once its bits are spread.
+    for i in range(0, len(at), SPREAD):
+        own, some = owner[i : i + SPREAD], at[i : i + SPREAD]
+        h = xxh64(flat, to[some], to[last[some] + 1] - 1)
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        begin = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        count[own[begin]] += np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
+    total = np.bincount(owner, minlength=len(fp))
+    set_bits = 2 * count > total[:, None]
+    fp[:] = np.packbits(set_bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
     return fp
 
 
@@ -137,7 +144,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [_fingerprints(d, o, shingle) for _, _, d, o in X.chunks(*X.buffers(batch.column(1)), 1 << 20)]
+            parts = [_fingerprints(d, o, shingle) for _, _, d, o in X.chunks(*X.buffers(batch.column(1)))]
             fp = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
