@@ -145,3 +145,39 @@ def test_jsonl_round_trip_and_census(spark, tmp_path):
 def test_index_records(spark):
     got = IO.index_records(table(spark, "value string", ("100644 " + "a" * 40 + " 0\tx y.ts",), ("bad",))).collect()
     assert [(r.mode, r.stage, r.path) for r in got] == [("100644", 0, "x y.ts")]
+
+
+def test_renames_against_a_column_at_a_time(spark):
+    """The fold against one that asks for each name at the end what the last operations made of it."""
+    import random
+
+    from cairn.operators import replay as R
+
+    rng = random.Random(5)
+    ops = [(f"t{rng.randrange(6)}", k, rng.choice(["add", "change", "remove", "rename"]), rng.choice("abc"), rng.choice("abcd"), f"v{k}") for k in range(300)]
+    got = {(r.table, r.column): (r.value, r.uncertain) for r in R.replay_with_renames(table(spark, "table string, ord int, kind string, column string, replacement string, value string", *ops)).collect()}
+
+    def held(tab, name, upto):
+        """(value or None, doubt) of a name after the first ``upto`` operations, by looking backwards."""
+        for at in range(upto - 1, -1, -1):
+            t, _, kind, column, target, v = ops[at]
+            if t != tab or name not in ((column, target) if kind == "rename" else (column,)):
+                continue
+            if kind == "change":
+                return v, False
+            if kind == "remove":
+                return None, False
+            before = held(tab, name, at)
+            if kind == "add":
+                return (before[0], True) if before[0] is not None else (v, False)
+            source = held(tab, column, at)[0]
+            if name == target:
+                there = before if name != column else (None, False)
+                if there[0] is not None or source is None:
+                    return there[0], True
+                return source, there[1]
+            return None, False
+        return None, False
+
+    expected = {(t, n): x for t in {o[0] for o in ops} for n in "abcd" if (x := held(t, n, len(ops))) != (None, False)}
+    assert got == expected
