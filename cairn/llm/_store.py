@@ -56,6 +56,11 @@ _shipped: dict[str, str] = {}
 _made: list[str] = []
 
 
+def made() -> tuple[str, ...]:
+    """The folders of all workspaces that are not cleared yet."""
+    return tuple(_made)
+
+
 def clear(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
     """Delete the folders of all workspaces but ``keep``, once nothing reads from them any more."""
     for path in [p for p in _made if p not in keep]:
