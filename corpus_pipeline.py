@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm import decontaminate, mixing, near_copies, quality, simhash, tokenize
-from cairn.llm._store import Workspace, clear
+from cairn.llm._store import Workspace, clear, made
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,8 +77,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each is written as Parquet and read again by the next."""
     store = Workspace(spark, "pipeline")
+    others = made()  # results of other calls may still be read
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = store.save(stage(spark, docs, sf_dir))
-        clear(spark, keep=(store.path,))
+        clear(spark, keep=others)
     return STAGES[-1][1](spark, docs, sf_dir)
