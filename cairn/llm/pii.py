@@ -1,22 +1,22 @@
 """Personal data: base patterns, and candidates scored by boosted trees.
 
 The base spans follow fixed patterns and checks.  Besides, generators with high
-recall propose looser candidates that may overlap.  Boosted trees, fitted on a
-bounded sample of candidates with the checks of their kinds as labels, score them by
-their format and context; thresholds that are calibrated for each kind on held-out
-candidates select those that are redacted as well.  The fitted trees become a column
-expression.
-
-Only built-in functions run over the texts; the fit runs on the driver on at
-most FIT_ROWS candidates.
+recall propose looser candidates that may overlap.  Boosted trees, fitted on all
+candidates with the checks of their kinds as labels, score them by their format and
+context; thresholds that are calibrated for each kind on held-out candidates select
+those that are redacted as well.  The fitted trees become a column expression.
+
+Only built-in functions run over the texts and the candidates; the driver chooses
+the cuts of the trees from sums over all candidates.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import Workspace
@@ -47,7 +47,9 @@ _NEEDS = {"email": "@", "phone": "+", "atmail": "at"}
 KINDS = [*BASE, *LOOSE]
 #: Matches that are folded at a time, and characters of a bucket in which spans are looked for.
 _FOLD, _BUCKET = 64, 64
-FIT_ROWS, ROUNDS, RATE, PRECISION, FOLDS = 20_000, 24, 0.3, 0.95, 3
+ROUNDS, RATE, PRECISION, FOLDS = 24, 0.3, 0.95, 3
+#: Quantiles at which trees may cut, and the unit of gradients, which are whole numbers so that sums have one value.
+_LEVELS, _UNIT = [i / 20 for i in range(1, 20)], 1 << 24
 _SPAN = "array<struct<kind:string,start:bigint,end:bigint,m:string>>"
 _NEAR = "array<struct<kind:string,start:bigint,end:bigint,m:string,before:string,after:string>>"
 
@@ -173,23 +175,51 @@ def _features(c: str = "c") -> dict[str, Column]:
     }
 
 
-def _fit_tree(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int) -> tuple:
-    """A regression tree on gradients: (feature, cut, left, right) or (value,)."""
-    best = None
-    if depth:
-        for f in range(x.shape[1]):
-            for cut in np.unique(np.quantile(x[:, f], np.linspace(0.05, 0.95, 19))):
-                left = x[:, f] <= cut
-                if 20 <= left.sum() <= len(x) - 20:
-                    gl, hl = g[left].sum(), h[left].sum()
-                    gr, hr = g.sum() - gl, h.sum() - hl
-                    gain = gl * gl / (hl + 1) + gr * gr / (hr + 1) - g.sum() ** 2 / (h.sum() + 1)
-                    if best is None or gain > best[0] + 1e-9:
-                        best = (gain, f, float(cut), left)
-    if best is None or best[0] < 1e-6:
-        return (float(-RATE * g.sum() / (h.sum() + 1)),)
-    _, f, cut, left = best
-    return (f, cut, _fit_tree(x[left], g[left], h[left], depth - 1), _fit_tree(x[~left], g[~left], h[~left], depth - 1))
+def _split(cuts: list[np.ndarray], sums: np.ndarray) -> tuple | None:
+    """The best cut of a node by its sums of gradients, curvatures and rows in each slot: (feature, cut, sums left, sums right)."""
+    least, best, at = 1e-6, None, 0
+    for f, own in enumerate(cuts):
+        upto = np.cumsum(sums[at : at + len(own) + 1], axis=0)
+        at += len(own) + 1
+        left, right, whole = upto[:-1], upto[-1] - upto[:-1], upto[-1]
+        gain = left[:, 0] ** 2 / (left[:, 1] + 1) + right[:, 0] ** 2 / (right[:, 1] + 1) - whole[0] ** 2 / (whole[1] + 1)
+        gain[np.minimum(left[:, 2], right[:, 2]) < 20] = 0
+        if len(gain) and gain.max() > least:
+            c = int(gain.argmax())
+            least, best = gain[c] + 1e-9, (f, float(own[c]), left[c], right[c])
+    return best
+
+
+def _leaf(sums: np.ndarray) -> tuple:
+    return (float(-RATE * sums[0] / (sums[1] + 1)),)
+
+
+def _boost(cuts: list[np.ndarray], models: int, look: Callable, add: Callable) -> list[list[tuple]]:
+    """The trees of each model, which are (feature, cut, left, right) or (value,).
+
+    ``look`` takes the first cut of each model's next tree and gives the sums of
+    each model, side of that cut and slot; the slots of a feature are the ranges
+    between its cuts.  ``add`` takes the next tree of each model.
+    """
+
+    def branch(sums: np.ndarray) -> tuple:
+        if best := _split(cuts, sums):
+            return (best[0], best[1], _leaf(best[2]), _leaf(best[3]))
+        return _leaf(sums[: len(cuts[0]) + 1].sum(axis=0))
+
+    trees: list[list[tuple]] = [[] for _ in range(models)]
+    for _ in range(ROUNDS if models else 0):
+        tops = [_split(cuts, sums[0]) for sums in look([None] * models)]
+        new = [(top[0], top[1], branch(sums[0]), branch(sums[1])) if top else branch(sums[0]) for top, sums in zip(tops, look(tops), strict=True)]
+        add(new)
+        for own, tree in zip(trees, new, strict=True):
+            own.append(tree)
+    return trees
+
+
+def _models(seen: set[tuple[int, float]]) -> list[int]:
+    """The parts to hold out (-1: none) where both labels are left; ``seen`` has the parts and their labels."""
+    return [m for m in range(-1, FOLDS) if len({y for part, y in seen if part != m}) == 2]
 
 
 def _predict(tree: tuple, x: np.ndarray) -> np.ndarray:
@@ -198,41 +228,107 @@ def _predict(tree: tuple, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, tree[0]] <= tree[1], _predict(tree[2], x), _predict(tree[3], x))
 
 
-def fit(x: np.ndarray, y: np.ndarray, kind: np.ndarray) -> tuple[list[tuple], dict[int, float]]:
+def fit(x: np.ndarray, y: np.ndarray, kind: np.ndarray, part: np.ndarray | None = None) -> tuple[list[tuple], dict[int, float]]:
     """Boosted trees of depth two, and for each kind the least margin with PRECISION.
 
     Margins are calibrated on candidates that the trees did not see: each of
     FOLDS parts is scored by trees of the other parts.  The precision is that of
     the lower bound of a binomial rate (normal approximation with one success
-    less).  Kinds without such a margin are left out.
+    less).  Kinds without such a margin are left out.  This is the fit of
+    arrays; :func:`fit_table` does the same with a table.
     """
-
-    def boost(x: np.ndarray, y: np.ndarray) -> list[tuple]:
-        trees, score = [], np.zeros(len(x))
-        for _ in range(ROUNDS if len(set(y)) == 2 else 0):
-            p = 1 / (1 + np.exp(-score))
-            trees.append(_fit_tree(x, p - y, p * (1 - p), 2))
-            score = score + _predict(trees[-1], x)
-        return trees
-
+    part = np.arange(len(x)) % FOLDS if part is None else part
+    models = _models(set(zip(part.tolist(), y.tolist(), strict=True)))
+    cuts = [np.unique([np.quantile(v[kind == k], _LEVELS) for k in np.unique(kind)]) for v in x.T]
+    first = np.cumsum([0, *(len(c) + 1 for c in cuts)])
+    slots = [first[f] + np.searchsorted(c, x[:, f]) for f, c in enumerate(cuts)]
+    scores = np.zeros((len(models), len(x)))
+
+    def look(tops: list[tuple | None]) -> np.ndarray:
+        sums = np.zeros((len(models), 2, first[-1], 3))
+        for i, (m, top) in enumerate(zip(models, tops, strict=True)):
+            side = (x[:, top[0]] > top[1]).astype(int) if top else np.zeros(len(x), int)
+            p = 1 / (1 + np.exp(-scores[i]))
+            each = np.stack((np.round((p - y) * _UNIT) / _UNIT, np.round(p * (1 - p) * _UNIT) / _UNIT, np.ones(len(x))), axis=1)
+            for slot in slots:
+                np.add.at(sums[i], (side[part != m], slot[part != m]), each[part != m])
+        return sums
+
+    def add(new: list[tuple]) -> None:
+        for i, tree in enumerate(new):
+            scores[i] += _predict(tree, x)
+
+    trees = _boost(cuts, len(models), look, add)
     least: dict[int, float] = {}
-    trees, score, part = boost(x, y), np.full(len(x), -np.inf), np.arange(len(x)) % FOLDS
-    for f in range(FOLDS):
-        if some := boost(x[part != f], y[part != f]):
-            score[part == f] = sum(_predict(t, x[part == f]) for t in some)
-    if trees:
+    if -1 in models:
+        held = np.full(len(x), -np.inf)
+        for i, m in enumerate(models):
+            held[part == m] = scores[i][part == m]
         for k in np.unique(kind).tolist():
-            own = (kind == k) & (score > -np.inf)
-            order = np.argsort(-score[own], kind="stable")
-            s, good = score[own][order], np.cumsum(y[own][order])
+            own = (kind == k) & (held > -np.inf)
+            order = np.argsort(-held[own], kind="stable")
+            s, good = held[own][order], np.cumsum(y[own][order])
             n = np.arange(1, len(s) + 1)
-            rate = (good - 1) / n
-            low = rate - 1.64 * np.sqrt(np.clip(rate * (1 - rate), 0, None) / n)
             last = np.concatenate((s[1:] != s[:-1], [True])) if len(s) else np.zeros(0, bool)
-            ok = np.flatnonzero(last & (low >= PRECISION))
+            ok = np.flatnonzero(last & (_sure(np.maximum(good, 1), n, np.sqrt) >= PRECISION))
             if len(ok):
                 least[k] = float(s[ok[-1]])
-    return trees, least
+    return (trees[models.index(-1)] if -1 in models else []), least
+
+
+def _sure(good, n, sqrt: Callable):
+    """The lower bound of the rate of ``good`` (one at least) among ``n``, both numbers, arrays or columns."""
+    rate = (good - 1) / n
+    return rate - 1.64 * sqrt(rate * (1 - rate) / n)
+
+
+def fit_table(known: DataFrame, features: dict[str, Column], store: Workspace) -> tuple[list[tuple], dict[str, float]]:
+    """:func:`fit` on all rows of a table of candidates, with the margins of LOOSE kinds by name.
+
+    Candidates with the same features, kind, label and part are counted once,
+    then features are rounded up to the next cut.  Parts follow the match and what
+    stands before it, so that repeats of one are held out together.
+    """
+    names = list(features)
+    part = F.pmod(F.xxhash64("c.m", "before"), F.lit(FOLDS)).cast("int").alias("part")
+    exact = known.select(*(v.alias(k) for k, v in features.items()), F.col("c.kind").alias("kind"), F.col("valid").cast("double").alias("y"), part)
+    exact = store.save(exact.groupBy(*names, "kind", "y", "part").agg(F.count(F.lit(1)).alias("n")), "cells")
+    marks = exact.groupBy("kind").agg(*(F.percentile(k, _LEVELS, F.col("n")).alias(k) for k in names)).collect()
+    models = _models({(r.part, r.y) for r in exact.select("part", "y").distinct().collect()})
+    if -1 not in models:
+        return [], {}
+    cuts = [np.unique([r[k] for r in marks]) for k in names]
+    first = np.cumsum([0, *(len(c) + 1 for c in cuts)])
+    up = lambda k, own: F.coalesce(F.array_min(F.filter(F.lit(own.tolist()), lambda c: c >= F.col(k))), F.lit(float("inf"))).alias(k)
+    cells = exact.select(*(up(k, own) for k, own in zip(names, cuts, strict=True)), "kind", "y", "part", "n")
+    cells = cells.groupBy(*names, "kind", "y", "part").agg(F.sum("n").alias("n")).withColumns({f"s{i}": F.lit(0.0) for i in range(len(models))})
+    cells = store.save(cells, "scored")
+    values = F.inline(F.array(*(F.struct(F.lit(f).alias("f"), F.col(k).alias("v")) for f, k in enumerate(names))))
+
+    def look(tops: list[tuple | None]) -> np.ndarray:
+        each = {}
+        for i, (m, top) in enumerate(zip(models, tops, strict=True)):
+            p, n = 1 / (1 + F.exp(-F.col(f"s{i}"))), F.when(F.col("part") != m, F.col("n")).otherwise(0)
+            each[f"side{i}"] = F.when(F.col(names[top[0]]) > top[1], 1).otherwise(0) if top else F.lit(0)
+            each |= {f"g{i}": F.round((p - F.col("y")) * _UNIT).cast("bigint") * n, f"h{i}": F.round(p * (1 - p) * _UNIT).cast("bigint") * n, f"n{i}": n}
+        total = [F.sum(F.when(F.col(f"side{i}") == side, F.col(f"{c}{i}")).otherwise(0)) for i in range(len(models)) for side in range(1 + any(tops)) for c in "ghn"]
+        sums = np.zeros((len(models), 2, first[-1], 3))
+        for f, v, *got in cells.select(values, *(c.alias(k) for k, c in each.items())).groupBy("f", "v").agg(*total).collect():
+            sums[:, : 1 + any(tops), first[f] + np.searchsorted(cuts[f], v)] = np.reshape(got, (len(models), -1, 3)) / (_UNIT, _UNIT, 1)
+        return sums
+
+    def add(new: list[tuple]) -> None:
+        nonlocal cells
+        old, cells = cells, store.save(cells.withColumns({f"s{i}": F.col(f"s{i}") + _as_column(tree, [F.col(k) for k in names]) for i, tree in enumerate(new)}), "scored")
+        store.drop(old)
+
+    trees = _boost(cuts, len(models), look, add)
+    held = F.coalesce(*(F.when(F.col("part") == m, F.col(f"s{i}")) for i, m in enumerate(models)))
+    ranks = cells.where(F.col("kind").isin(*LOOSE)).groupBy("kind", held.alias("s")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("good")).where("s is not null")
+    down = Window.partitionBy("kind").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    ranks = ranks.select("kind", "s", F.sum("n").over(down).alias("n"), F.sum("good").over(down).alias("good"))
+    least = ranks.where(_sure(F.greatest("good", F.lit(1.0)), F.col("n"), F.sqrt) >= PRECISION).groupBy("kind").agg(F.min("s")).collect()
+    return trees[models.index(-1)], dict(map(tuple, least))
 
 
 def _as_column(tree: tuple, features: list[Column]) -> Column:
@@ -267,11 +363,10 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     free = store.save(loose.join(clash, ["row", "c"], "left_anti").select("row", "c", "before", "after", "valid"), "free")
     features = _features()
     known = found.select(F.inline("raw")).unionByName(free.drop("row"))
-    sample = known.select("c", "before", "after", "valid", F.xxhash64("c.m", "before").alias("o")).orderBy("o", "c.m", "before", "valid").limit(FIT_ROWS)
-    got = sample.select(*(v.alias(k) for k, v in features.items()), F.col("valid").cast("double").alias("y"), F.coalesce(*(F.when(F.col("c.kind") == k, F.lit(float(i))) for i, k in enumerate(KINDS))).alias("kind")).collect()
-    data = np.array([tuple(r) for r in got], float).reshape(-1, len(features) + 2)
-    trees, margins = fit(data[:, :-2], data[:, -2], data[:, -1])
-    least = [(k, margins[i]) for i, k in enumerate(KINDS) if k in LOOSE and i in margins]
+    # A kind with too few good candidates has no margin, whatever the trees say.
+    enough = [r["count"] for r in free.where("valid").groupBy("c.kind").count().collect() if _sure(r["count"], r["count"], np.sqrt) >= PRECISION]
+    trees, margins = fit_table(known, features, store) if enough else ([], {})
+    least = [(k, margins[k]) for k in KINDS if k in margins]
     if not least:
         added = free.select("row", F.array().cast(_SPAN).alias("picked")).limit(0)
     else:

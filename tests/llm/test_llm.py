@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 from oracle import rows_of, sql_rows
+from pyspark.sql import functions as F
 
 from cairn.llm import decontaminate, mixing, pii, quality, secrets, simhash, substring_dedup, suffix_dedup, tokenize
 from cairn.llm import _repeats as R
@@ -612,6 +613,29 @@ def test_pii_adds_spans_of_the_generators(spark):
     assert not any(got[2 * i + 1] for i in range(900))
 
 
+def test_pii_fits_on_all_candidates(spark):
+    rows = [(i, " ".join(f"u{i}x{j}@h{j}.org" for j in range(100))) for i in range(400)]
+    rows += [(400 + i, f"ssn {100 + i}-{10 + i}-{1000 + 7 * i}") for i in range(60)] + [(460 + i, f"ssn 000-{10 + i}-{1000 + 7 * i}") for i in range(60)]
+    got = {r.doc_id: [s.kind for s in r.added] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[400 + i] == ["ssn"] for i in range(60))  # 53 good ones are needed: half of the 40,120 candidates would not do
+    assert not any(got[i] for i in got if not 400 <= i < 460)
+
+
+def test_pii_fit_of_a_table_is_that_of_arrays(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(3000, 2)) * 4)
+    kinds = [list(pii.LOOSE)[i % 2] for i in range(3000)]
+    y = (x[:, 0] > 0) & (x[:, 1] > -3)
+    y[1::2] = rng.integers(0, 2, 1500) == 1
+    rows = [((k, f"m{i // 2}"), "", bool(v), float(a), float(b)) for i, (k, v, (a, b)) in enumerate(zip(kinds, y, x))]
+    df = spark.createDataFrame(rows, "c struct<kind:string,m:string>, before string, valid boolean, a double, b double")
+    part = np.array([r[0] for r in df.select(F.pmod(F.xxhash64("c.m", "before"), F.lit(pii.FOLDS))).collect()])
+    trees, least = pii.fit(x, y.astype(float), np.array([pii.KINDS.index(k) for k in kinds]), part)
+    got, margins = pii.fit_table(df, {"a": F.col("a"), "b": F.col("b")}, pii.Workspace(spark, "pii"))
+    assert set(margins) == {"ssn"} and least == pytest.approx({pii.KINDS.index(k): v for k, v in margins.items()})
+    assert sum(pii._predict(t, x) for t in got) == pytest.approx(sum(pii._predict(t, x) for t in trees))
+
+
 def test_secret_assignments_and_long_runs(spark):
     rng = random.Random(9)
     rand = lambda n: "".join(rng.choice("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
