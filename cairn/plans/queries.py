@@ -485,8 +485,7 @@ def _(i: Inputs) -> DataFrame:
 
 @_query("g17_layers", sql("select node, max(rank) as rank from r group by 1", "edges", recursive=True, ctes="e as (select distinct src, dst from edges where type <> 'places'), r as (select distinct src as node, 0::bigint as rank from e union select distinct dst, 0 from e union select dst, rank + 1 from r join e on src = node where rank < 5)"))
 def _(i: Inputs) -> DataFrame:
-    e = i.edges.where("type <> 'places'").select("src", "dst").distinct()
-    return G.layers(e, e.select(F.col("src").alias("node")).union(e.select("dst")))
+    return G.layers(i.arcs.where("type <> 'places'"))
 
 
 # --- search (Q) -------------------------------------------------------------

@@ -181,3 +181,40 @@ def test_renames_against_a_column_at_a_time(spark):
 
     expected = {(t, n): x for t in {o[0] for o in ops} for n in "abcd" if (x := held(t, n, len(ops))) != (None, False)}
     assert got == expected
+
+@pytest.fixture
+def cuts(monkeypatch):
+    """The numbers of rows that graph loops checkpoint."""
+    rows, cut = [], G.cut
+
+    def counted(df):
+        done = cut(df)
+        rows.append(done.count())
+        return done
+
+    monkeypatch.setattr(G, "cut", counted)
+    return rows
+
+
+def _fan(spark, n=300):
+    """a leads to n leaves, each of them to b; the edges are given twice."""
+    leaves = spark.range(n).select(F.concat(F.lit("x"), "id").alias("x"))
+    once = leaves.select(F.lit("a").alias("src"), F.col("x").alias("dst")).union(leaves.select("x", F.lit("b")))
+    return once.union(once)
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_layers_do_not_store_the_edges(spark, monkeypatch, cuts, few):
+    monkeypatch.setattr(G, "FEW", few, raising=False)
+    e = _fan(spark)
+    ranks = {r.node: r["rank"] for r in G.layers(e, e.select(F.col("src").alias("node")).union(e.select("dst"))).collect()}
+    assert ranks == {"a": 0, "b": 2} | {f"x{i}": 1 for i in range(300)}
+    assert max(cuts) <= 302
+
+
+def test_layers_within_nodes_and_on_cycles(spark):
+    e = table(spark, "src string, dst string", ("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("x", "a"))
+    whole = {r.node: r["rank"] for r in G.layers(e, most=3).collect()}
+    assert whole == {"x": 0, "a": 1, "b": 3, "c": 3, "d": 3}
+    part = {r.node: r["rank"] for r in G.layers(e, table(spark, "node string", ("a",), ("b",), ("d",), ("y",)), 3).collect()}
+    assert part == {"a": 0, "b": 1, "d": 0, "y": 0}
