@@ -329,7 +329,7 @@ def _(i: Inputs) -> DataFrame:
 
 @_query("g10_neighborhood", sql("select node, min(depth) as depth from r group by 1 order by depth, node limit 150", "edges", recursive=True, ctes="x as (select src, dst from edges union select dst, src from edges), r as (select 'c1' as node, 0::bigint as depth union select dst, depth + 1 from r join x on src = node where depth < 3)"))
 def _(i: Inputs) -> DataFrame:
-    return G.neighborhood(i.edges, _seeds(i, "c1"), 3, "both", 150)[0]
+    return G.neighborhood(i.arcs, _seeds(i, "c1"), 3, "both", 150)[0]
 
 
 @_query("g10_report", sql("select least(count(distinct node), 150) as n, count(distinct node) > 150 as truncated from r", "edges", recursive=True, ctes="r as (select 'n1' as node, 0 as depth union select src, depth + 1 from r join edges on dst = node where depth < 2)"))

@@ -218,3 +218,16 @@ def test_layers_within_nodes_and_on_cycles(spark):
     assert whole == {"x": 0, "a": 1, "b": 3, "c": 3, "d": 3}
     part = {r.node: r["rank"] for r in G.layers(e, table(spark, "node string", ("a",), ("b",), ("d",), ("y",)), 3).collect()}
     assert part == {"a": 0, "b": 1, "d": 0, "y": 0}
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_k_hop_does_not_store_the_edges(spark, monkeypatch, cuts, few):
+    monkeypatch.setattr(G, "FEW", few, raising=False)
+    found = {r.node: r.depth for r in G.k_hop(_fan(spark), table(spark, "node string", ("a",))).collect()}
+    assert found == {"a": 0, "b": 2} | {f"x{i}": 1 for i in range(300)}
+    assert max(cuts) <= 300
+
+
+def test_k_hop_beyond_the_rounds_that_read_edges(spark):
+    chain = spark.range(12).select(F.concat(F.lit("v"), "id").alias("src"), F.concat(F.lit("v"), F.col("id") + 1).alias("dst"))
+    assert {r.node: r.depth for r in G.k_hop(chain, table(spark, "node string", ("v0",))).collect()} == {f"v{i}": i for i in range(13)}
