@@ -463,7 +463,7 @@ def _(i: Inputs) -> DataFrame:
 @_query("g05_contexts", sql("select node, count(distinct origin) as origins, string_agg(distinct scope, ',' order by scope) as scopes from r join (select concat('p', p_partkey) as origin, case when p_size % 2 = 0 then 'test' else 'production' end as scope from part) using (origin) group by 1", "edges", recursive=True, ctes="r as (select concat('p', p_partkey) as node, concat('p', p_partkey) as origin from part union select dst, origin from r join edges on src = node)"))
 def _(i: Inputs) -> DataFrame:
     entry = i.part.select(F.concat(F.lit("p"), "p_partkey").alias("node"), F.when(F.col("p_size") % 2 == 0, "test").otherwise("production").alias("scope"))
-    return G.contexts_by_scope(i.edges, entry)
+    return G.contexts_by_scope(i.arcs, entry)
 
 
 @_query("g10_k_hop", sql("select node, min(depth) as depth from r group by 1", "edges", recursive=True, ctes="r as (select 'c1' as node, 0::bigint as depth union select dst, depth + 1 from r join edges on src = node where depth < 2)"))

@@ -231,3 +231,12 @@ def test_k_hop_does_not_store_the_edges(spark, monkeypatch, cuts, few):
 def test_k_hop_beyond_the_rounds_that_read_edges(spark):
     chain = spark.range(12).select(F.concat(F.lit("v"), "id").alias("src"), F.concat(F.lit("v"), F.col("id") + 1).alias("dst"))
     assert {r.node: r.depth for r in G.k_hop(chain, table(spark, "node string", ("v0",))).collect()} == {f"v{i}": i for i in range(13)}
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_contexts_do_not_store_the_edges(spark, monkeypatch, cuts, few):
+    monkeypatch.setattr(G, "FEW", few, raising=False)
+    entry = table(spark, "node string, scope string", ("a", "test"), ("x1", "production"), ("x1", "test"), ("x2", None))
+    got = {r.node: (r.origins, r.scopes) for r in G.contexts_by_scope(_fan(spark), entry).collect()}
+    assert got == {"a": (1, "test"), "b": (3, "production,test"), "x1": (2, "production,test"), "x2": (2, "test")} | {f"x{i}": (1, "test") for i in range(300) if i not in (1, 2)}
+    assert max(cuts) < 600
