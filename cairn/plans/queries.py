@@ -457,7 +457,7 @@ def _seeds(i: Inputs, *nodes: str) -> DataFrame:
 
 @_query("g02_closure", sql("select node from r", "edges", recursive=True, ctes="r as (select 'p1' as node union select dst from r join edges on src = node)"))
 def _(i: Inputs) -> DataFrame:
-    return G.k_hop(i.edges, _seeds(i, "p1")).select("node")
+    return G.k_hop(i.arcs, _seeds(i, "p1")).select("node")
 
 
 @_query("g05_contexts", sql("select node, count(distinct origin) as origins, string_agg(distinct scope, ',' order by scope) as scopes from r join (select concat('p', p_partkey) as origin, case when p_size % 2 = 0 then 'test' else 'production' end as scope from part) using (origin) group by 1", "edges", recursive=True, ctes="r as (select concat('p', p_partkey) as node, concat('p', p_partkey) as origin from part union select dst, origin from r join edges on src = node)"))
