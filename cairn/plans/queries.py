@@ -468,7 +468,7 @@ def _(i: Inputs) -> DataFrame:
 
 @_query("g10_k_hop", sql("select node, min(depth) as depth from r group by 1", "edges", recursive=True, ctes="r as (select 'c1' as node, 0::bigint as depth union select dst, depth + 1 from r join edges on src = node where depth < 2)"))
 def _(i: Inputs) -> DataFrame:
-    return G.k_hop(i.edges, _seeds(i, "c1"), 2)
+    return G.k_hop(i.arcs, _seeds(i, "c1"), 2)
 
 
 @_query("g12_impact", sql("select node from r", "edges", recursive=True, ctes="r as (select 'n3' as node union select src from r join edges on dst = node)"))
