@@ -334,7 +334,7 @@ def _(i: Inputs) -> DataFrame:
 
 @_query("g10_report", sql("select least(count(distinct node), 150) as n, count(distinct node) > 150 as truncated from r", "edges", recursive=True, ctes="r as (select 'n1' as node, 0 as depth union select src, depth + 1 from r join edges on dst = node where depth < 2)"))
 def _(i: Inputs) -> DataFrame:
-    return G.neighborhood(i.edges, _seeds(i, "n1"), 2, "in", 150)[1]
+    return G.neighborhood(i.arcs, _seeds(i, "n1"), 2, "in", 150)[1]
 
 
 @_query("g14_routes", "with recursive m as (select concat('r', r_regionkey) as src, concat('n', n_nationkey) as dst, concat('/', n_name) as base from nation join region on r_regionkey = n_regionkey union all select 'root', concat('r', r_regionkey), concat('/', r_name) from region union all select 'n1', 'root', '/loop'), c as (select 'root' as router, '' as base union all select m.dst, concat(c.base, m.base) from c join m on m.src = c.router where m.dst <> 'root') select distinct concat(base, '/', s_suppkey) as path from c join supplier on concat('n', s_nationkey) = router")
