@@ -473,7 +473,7 @@ def _(i: Inputs) -> DataFrame:
 
 @_query("g12_impact", sql("select node from r", "edges", recursive=True, ctes="r as (select 'n3' as node union select src from r join edges on dst = node)"))
 def _(i: Inputs) -> DataFrame:
-    e = i.edges
+    e = i.arcs
     return G.impact_closure(e.where("type <> 'places'"), e.where("type <> 'contains'"), _seeds(i, "n3")).select("node")
 
 
