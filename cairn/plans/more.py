@@ -306,7 +306,7 @@ def _(i: Inputs) -> DataFrame:
 def _(i: Inputs) -> DataFrame:
     n = F.col("n_nationkey")
     scopes = i.nation.select(F.concat(F.lit("n"), n).alias("loader"), F.concat(F.lit("p"), n + 1).alias("target"), (n % 2 == 0).alias("complete"))
-    return G.loaded_closure(i.edges.where("type <> 'places'"), _seeds(i, "s1"), scopes)
+    return G.loaded_closure(i.arcs.where("type <> 'places'"), _seeds(i, "s1"), scopes)
 
 
 @_query("g04_gated", f"select distinct concat('c', p_partkey) as node from part where p_size % 2 = 1 and concat('p', p_partkey) in ({_REACHED})")

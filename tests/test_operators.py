@@ -240,3 +240,10 @@ def test_contexts_do_not_store_the_edges(spark, monkeypatch, cuts, few):
     got = {r.node: (r.origins, r.scopes) for r in G.contexts_by_scope(_fan(spark), entry).collect()}
     assert got == {"a": (1, "test"), "b": (3, "production,test"), "x1": (2, "production,test"), "x2": (2, "test")} | {f"x{i}": (1, "test") for i in range(300) if i not in (1, 2)}
     assert max(cuts) < 600
+
+
+def test_loaded_closure_takes_one_closure(spark, cuts):
+    e = table(spark, "src string, dst string", ("a", "b"), ("t", "u"), ("u", "a"))
+    scopes = table(spark, "loader string, target string, complete boolean", ("b", "t", True), ("u", "w", True), ("u", "v", False))
+    assert {r.node for r in G.loaded_closure(e, table(spark, "node string", ("a",)), scopes).collect()} == {"a", "b", "t", "u", "w"}
+    assert len(cuts) <= 6
