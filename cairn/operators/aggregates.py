@@ -126,9 +126,10 @@ def mode(key: str, column: str, counts: DataFrame) -> DataFrame:
 
 
 def cluster_edges(edges: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Edges between clusters (node, cluster) with counts."""
+    """Edges between clusters with counts (A26); they are counted by source cluster and target before the targets are looked up."""
     side = lambda n: clusters.select(F.col("node").alias(n), F.col("cluster").alias(f"{n}_cluster"))
-    return edges.join(side("src"), "src").join(side("dst"), "dst").groupBy("src_cluster", "dst_cluster", "type").agg(F.count("*").alias("n"))
+    counts = edges.join(side("src"), "src").groupBy("src_cluster", "dst", "type").agg(F.count("*").alias("n"))
+    return counts.join(side("dst"), "dst").groupBy("src_cluster", "dst_cluster", "type").agg(F.sum("n").alias("n"))
 
 
 def histogram(df: DataFrame, column: str, domain: tuple[str, ...]) -> DataFrame:

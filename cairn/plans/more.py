@@ -209,8 +209,8 @@ def _(i: Inputs) -> DataFrame:
 
 @_query("a26_cluster_tail", sql("with k as (select left(node, 1) as c from (select src as node from edges union select dst from edges)), top as (select c from k group by 1 order by count(*) desc, c limit 3) select case when left(src, 1) in (select c from top) then left(src, 1) else 'other' end as src_cluster, case when left(dst, 1) in (select c from top) then left(dst, 1) else 'other' end as dst_cluster, type, count(*) as n from edges group by 1, 2, 3", "edges").replace(") with k as", "), k as"))
 def _(i: Inputs) -> DataFrame:
-    e = i.edges
-    nodes = e.select("src").union(e.select("dst")).distinct().select(F.col("src").alias("node"), F.left("src", F.lit(1)).alias("cluster"))
+    e, a = i.edges, i.arcs
+    nodes = a.select("src").union(a.select("dst")).distinct().select(F.col("src").alias("node"), F.left("src", F.lit(1)).alias("cluster"))
     return A.clusters_with_tail(e, nodes, 3)
 
 

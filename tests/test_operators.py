@@ -247,3 +247,12 @@ def test_loaded_closure_takes_one_closure(spark, cuts):
     scopes = table(spark, "loader string, target string, complete boolean", ("b", "t", True), ("u", "w", True), ("u", "v", False))
     assert {r.node for r in G.loaded_closure(e, table(spark, "node string", ("a",)), scopes).collect()} == {"a", "b", "t", "u", "w"}
     assert len(cuts) <= 6
+
+
+def test_clusters_count_before_the_targets_are_looked_up(spark):
+    e = table(spark, "src string, dst string, type string", ("a1", "b1", "t"), ("a2", "b1", "t"), ("a1", "b2", "t"), ("b1", "a1", "u"))
+    nodes = table(spark, "node string, cluster string", ("a1", "a"), ("a2", "a"), ("b1", "b"), ("b2", "b"))
+    got = A.cluster_edges(e, nodes)
+    assert sorted((r.src_cluster, r.dst_cluster, r.type, r.n) for r in got.collect()) == [("a", "b", "t", 3), ("b", "a", "u", 1)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2
