@@ -390,7 +390,7 @@ def _(i: Inputs) -> DataFrame:
 
 @_query("a24_adjacency", sql("select node, direction, part, string_agg(other, ',' order by other) as neighbours from (select *, (row_number() over (partition by node, direction order by other) - 1) // 100 as part from (select distinct src as node, 'out' as direction, dst as other from edges union select distinct dst, 'in', src from edges)) group by 1, 2, 3", "edges"))
 def _(i: Inputs) -> DataFrame:
-    return G.adjacency(i.edges, 100).withColumn("neighbours", F.array_join("neighbours", ","))
+    return G.adjacency(i.arcs, 100).withColumn("neighbours", F.array_join("neighbours", ","))
 
 
 @_query("a26_clusters", sql("select left(src, 1) as src_cluster, left(dst, 1) as dst_cluster, type, count(*) as n from edges group by 1, 2, 3", "edges"))

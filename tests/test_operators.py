@@ -256,3 +256,17 @@ def test_clusters_count_before_the_targets_are_looked_up(spark):
     assert sorted((r.src_cluster, r.dst_cluster, r.type, r.n) for r in got.collect()) == [("a", "b", "t", 3), ("b", "a", "u", 1)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 2
+
+
+def _exchanges(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    return plan.count("Exchange hashpartitioning")
+
+
+def test_adjacency_shuffles_once(spark):
+    e = table(spark, "src string, dst string", ("a", "c"), ("a", "b"), ("a", "b"), ("a", "d"), ("b", "d"))
+    got = G.adjacency(e, 2)
+    assert sorted((r.node, r.direction, r.part, r.neighbours) for r in got.collect()) == [
+        ("a", "out", 0, ["b", "c"]), ("a", "out", 1, ["d"]), ("b", "in", 0, ["a"]), ("b", "out", 0, ["d"]), ("c", "in", 0, ["a"]), ("d", "in", 0, ["a", "b"])]
+    assert _exchanges(got) == 1
