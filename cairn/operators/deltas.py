@@ -41,11 +41,18 @@ def pair_by_occurrence(base: DataFrame, candidate: DataFrame) -> DataFrame:
 
 
 def instance_delta(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(pattern, instance, status) for patterns that both sides have (J6); rows are (pattern, instance)."""
-    shared = old.select("pattern").distinct().join(new.select("pattern").distinct(), "pattern")
-    side = lambda df, name: df.join(shared, "pattern", "left_semi").distinct().withColumn(name, F.lit(True))
-    both = side(old, "a").join(side(new, "b"), ["pattern", "instance"], "full_outer").where("a is null or b is null")
-    return both.select("pattern", "instance", F.when(F.col("a").isNull(), "added").otherwise("removed").alias("status"))
+    """(pattern, instance, status) for patterns that both sides have (J6); rows are (pattern, instance).
+
+    One shuffle by pattern and one sort; both windows follow it.  A null instance has no equal on the other side.
+    """
+    side = lambda df, n: df.where("pattern is not null").select("pattern", "instance", F.lit(n).alias("side"))
+    both = side(old, 1).unionByName(side(new, 2)).repartition("pattern")
+    same = Window.partitionBy("pattern", "instance", F.when(F.col("instance").isNull(), F.col("side"))).orderBy("side")
+    whole = (Window.unboundedPreceding, Window.unboundedFollowing)
+    pattern = Window.partitionBy("pattern")
+    sides = both.select("*", F.row_number().over(same).alias("rn"), F.max("side").over(same.rowsBetween(*whole)).alias("most"))
+    shared = sides.withColumn("all_least", F.min("side").over(pattern)).withColumn("all_most", F.max("side").over(pattern))
+    return shared.where("rn = 1 and side = most and all_least < all_most").select("pattern", "instance", F.when(F.col("side") == 2, "added").otherwise("removed").alias("status"))
 
 
 def cache_plan(old: DataFrame, new: DataFrame, impact: DataFrame, key: str) -> DataFrame:

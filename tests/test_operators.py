@@ -270,3 +270,11 @@ def test_adjacency_shuffles_once(spark):
     assert sorted((r.node, r.direction, r.part, r.neighbours) for r in got.collect()) == [
         ("a", "out", 0, ["b", "c"]), ("a", "out", 1, ["d"]), ("b", "in", 0, ["a"]), ("b", "out", 0, ["d"]), ("c", "in", 0, ["a"]), ("d", "in", 0, ["a", "b"])]
     assert _exchanges(got) == 1
+
+
+def test_instance_delta_shuffles_once(spark):
+    old = table(spark, "pattern int, instance int", (1, 1), (1, 2), (1, 2), (2, 1), (None, 1), (4, None))
+    new = table(spark, "pattern int, instance int", (1, 2), (1, 3), (1, 3), (3, 1), (None, 2), (4, None))
+    got = D.instance_delta(old, new)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, 1, "removed"), (1, 3, "added"), (4, None, "removed"), (4, None, "added")], key=repr)
+    assert _exchanges(got) == 1
